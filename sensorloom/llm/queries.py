@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import packing, quality_rules, quotations, shared, token_store, tokens, url_filter
+from sensorloom.llm import near_duplicates, packing, quality_rules, quotations, shared, token_store, tokens, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words_a_shingle=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_store": op7_token_store,
         "op8_quality_rules": op8_quality_rules,
         "op9_quotation_linking": op9_quotation_linking,
+        "op10_hyperminhash": op10_hyperminhash,
     }
 
 
