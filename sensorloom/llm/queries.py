@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import near_duplicates, packing, quality_rules, quotations, shared, token_store, tokens, url_filter
+from sensorloom.llm import near_duplicates, packing, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"))
     return packing.pack(cut)
@@ -46,6 +51,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_store": op7_token_store,
         "op8_quality_rules": op8_quality_rules,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -32,12 +33,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts lineage, survives a lost executor."""
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: cuts lineage, survives a lost executor.
+
+    ``free``: also lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, which
+    otherwise stay until the driver next collects garbage.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, schema = new_path(spark, name), df.schema
+    df.write.options(compression="zstd").parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
