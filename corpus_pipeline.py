@@ -1,8 +1,61 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline: from raw ``documents`` to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder
+and rereads it as the next stage's docs. All but the last return the columns of ``documents``:
+
+1. quality rules: documents that fail the base rule or are robust outliers go;
+2. MinHash near-duplicates (five-word shingles, similarity 0.8 or more): the least doc_id of each group stays;
+3. repeated substrings: bytes covered by a 50-byte string of an earlier document go, and documents of which
+   nothing but white space is left;
+4. benchmark decontamination: documents in which a benchmark item is found go;
+5. best-fit packing into sequences of 4096 tokens: one row per piece.
+
+The rows depend on iterative estimates and on token ids, which SQL cannot express: ORACLE_SQL is None, and the
+stages are tested against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorloom.llm import decontamination, near_duplicates, packing, quality_rules, shared, substring_dedup, tokens
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.keep_one(docs, words_a_shingle=5, percent=80)
+
+
+def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(docs, 50).where(F.col("text").rlike(r"\S"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(docs, tokens.tokenizer_path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("minhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", substring_removal),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", pack),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = shared.stored(stage(spark, docs, sf_dir), f"stage-{name}", free=True)
+    return docs

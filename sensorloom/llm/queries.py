@@ -7,17 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import near_duplicates, packing, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter
+from sensorloom.llm import decontamination, near_duplicates, packing, quality_classifier, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality_classifier.train(docs, table(spark, sf_dir, "labels"), max_train_rows=6000)
+    return quality_classifier.score(docs, machine)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -50,7 +64,10 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_factorisation_machine": op1_factorisation_machine,
         "op2_url_filter": op2_url_filter,
+        "op3_decontamination": op3_decontamination,
+        "op4_wrapper_induction": op4_wrapper_induction,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_store": op7_token_store,
