@@ -135,8 +135,12 @@ def latent_space(words: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarray]:
     shift = 1e-6 * np.linalg.norm(y)
     y += shift * w
     core = w.T @ y
-    lower = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / len(core) * np.eye(len(core)))
-    vectors, values, _ = np.linalg.svd(np.linalg.solve(lower, y.T).T, full_matrices=False)
+    core_values, core_vectors = np.linalg.eigh((core + core.T) / 2)
+    good = core_values > max(1e-12, 1e-9 * core_values.max())
+    if not good.any():  # no words at all
+        return idf, np.zeros((BUCKETS + 1, rank), np.float32)
+    vectors, values, _ = np.linalg.svd(y @ core_vectors[:, good] / np.sqrt(core_values[good]), full_matrices=False)
+    rank = min(rank, len(values))
     singular = np.sqrt(np.maximum(values**2 - shift, 1e-9))[:rank]
     return idf, np.r_[vectors[:, :rank] / np.maximum(singular, 1e-3 * singular.max()) * idf[:, None], np.zeros((1, rank))].astype(np.float32)
 
@@ -152,7 +156,7 @@ def common_subsequence(item: dict[int, int], size: int, words: list[int]) -> int
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 40, min_cosine: float = 0.5, min_lcs: float = 0.65, min_answer: float = 0.5, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, rank: int = 40, min_cosine: float = 0.3, min_lcs: float = 0.65, min_answer: float = 0.5, block_items: int = 20_000
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item's words) and answer (share of its answer terms)."""
     spark = docs.sparkSession
