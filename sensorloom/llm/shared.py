@@ -5,10 +5,14 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +48,10 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     df.write.options(compression="zstd").parquet(path)
     if free:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the plans go first, then the shuffles that only they held
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -89,6 +95,13 @@ class WordHashes(dict):
     def array(self, words: list[str], dtype) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype, len(words))
 
+    def words_of(self, lists: pa.ListArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all words of lists of words, and where each list starts and ends."""
+        cuts = lists.offsets.to_numpy()
+        coded = lists.values.slice(int(cuts[0]), int(cuts[-1] - cuts[0])).dictionary_encode()
+        known = self.array(coded.dictionary.to_pylist(), dtype)
+        return (known[coded.indices.to_numpy()] if len(known) else known), cuts - cuts[0]
+
 
 def hash64(word: str) -> int:
     b = word.encode("utf-8", "surrogatepass")
@@ -101,3 +114,30 @@ SPACES = re.compile(r"[ \t-\r]+")
 def ascii_words(text: str) -> list[str]:
     """Runs of characters other than space and U+0009 to U+000D."""
     return [w for w in SPACES.split(text) if w]
+
+
+def squeezed(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and ``z``: the text by zstd, for texts that have to be shuffled."""
+    rows = rows.select(*keep, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in sliced(batches):
+            z = [squeeze(t.encode("utf-8")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(z, pa.binary())], [*keep, "z"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{kinds}, z binary")
+
+
+def bytes_of(z: list[bytes]) -> list[bytes]:
+    """The UTF-8 texts of a column that ``squeezed`` made."""
+    open_up = zstandard.ZstdDecompressor().decompress
+    return [open_up(x) for x in z]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows``: bounds what is unpacked at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
