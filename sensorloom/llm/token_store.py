@@ -81,13 +81,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, met
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The store's rows with ``start``: the number of ids before the document in the whole stream.
 
-    Only the shard totals (one row a file) are summed in order; documents are not moved.
+    Only the shard totals (one row a file, so no more rows than write partitions) are summed in order and
+    broadcast; documents are not moved.
     """
     rows = spark.read.parquet(path)
     totals = rows.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "shard").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
+    return rows.join(F.broadcast(bases), "shard").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
 def id_checksums(rows: DataFrame, *keep: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -24,7 +25,17 @@ LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 NOT_PLAIN = re.compile(rf"[^\n -~{LETTER}]")
 PLAIN_WITH_SPACE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[0-9]+| ?[^\n 0-9{LETTER}]+|[ \n]+(?![^ \n])|[ \n]+")
 PLAIN_WITHOUT_SPACE = re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{LETTER}]+|[0-9]|[^\n 0-9{LETTER}]+")
-KEPT_CHUNKS, LONGEST_KEPT = 400_000, 48
+KEPT_CHUNKS, LONGEST_KEPT = 250_000, 48
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as characters from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(hidden)}
+
+
+BYTE_CHARACTERS = byte_characters()
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -54,41 +65,38 @@ class Encoder:
         self.chunks = WITHOUT_SPACE if drops_space else WITH_SPACE
         self.pieces = PLAIN_WITHOUT_SPACE if drops_space else PLAIN_WITH_SPACE
         self.kept: dict[str, bytes] = {}
-        # Between pieces stands one that never joins its neighbours: a digit, or a line end.
-        self.mark = "0" if drops_space else "\n"
-        (self.mark_id,) = np.frombuffer(self._by_library([self.mark])[0], "<u4")
-        self.alone = frozenset("0123456789") if drops_space else frozenset()
+        self.old: dict[str, bytes] = {}
+        self.lower = drops_space
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in out]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of each piece: most in one call of the library, cut at the marks between them."""
-        joined = [p for p in pieces if p not in self.alone and "\n" not in p]
-        rest = [p for p in pieces if p in self.alone or "\n" in p]
-        out = dict(zip(rest, self._by_library(rest), strict=True))
-        if joined:
-            ids = np.frombuffer(self._by_library([self.mark.join(joined)])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            starts, ends = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
-            raw = ids.tobytes()
-            out.update((p, raw[i:j]) for p, i, j in zip(joined, starts.tolist(), ends.tolist(), strict=True))
-        return out
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces of a plain text: straight to the merges, in the characters that stand for bytes."""
+        merge = self.tokenizer.model.tokenize
+        if self.lower:
+            pieces = [p.lower() for p in pieces]
+        return [array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))]).tobytes() for p in pieces]
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers."""
-        if UNUSUAL.search(text):
+        plain = not NOT_PLAIN.search(text)
+        if not plain and UNUSUAL.search(text):
             return self._by_library([text])[0]
-        kept, plain = self.kept, not NOT_PLAIN.search(text)
+        kept = self.kept
         chunks = (self.pieces if plain else self.chunks).findall(text)
         found = [*map(kept.get, chunks)]
         if None not in found:
             return b"".join(found)
+        if len(kept) > KEPT_CHUNKS:  # what is still in use comes back from the older half
+            self.kept, self.old = kept, old = {}, kept
+            found = [None] * len(chunks)
+        else:
+            old = self.old
         missing = list({c for c, b in zip(chunks, found, strict=True) if b is None})
-        if len(kept) + len(missing) > KEPT_CHUNKS:
-            kept.clear()
-            missing = list(set(chunks))
-        new = self._pieces(missing) if plain else dict(zip(missing, self._by_library(missing), strict=True))
+        new = {c: b for c in missing if (b := old.get(c)) is not None}
+        rest = [c for c in missing if c not in new]
+        new.update(zip(rest, self._pieces(rest) if plain else self._by_library(rest), strict=True))
         kept.update((c, b) for c, b in new.items() if len(c) <= LONGEST_KEPT)
-        return b"".join([new[c] if c in new else kept[c] for c in chunks])
+        return b"".join([new[c] if b is None else b for c, b in zip(chunks, found, strict=True)])
