@@ -2,9 +2,9 @@
 
 Prefix doubling over text positions, with Spark sorting names (64-bit ranks) of growing prefixes:
 
-1. Level ``stem`` (32 bytes for windows of 50). Of the stems inside each window the one of least name is the
+1. Level ``stem`` (28 bytes for windows of 50). Of the stems inside each window the one of least name is the
    window's anchor (the leftmost if equal). Equal windows have equal anchors at equal places, so anchors
-   stand for all windows at about a tenth of the positions. Sorted by name, anchors whose stem starts in
+   stand for all windows at about a twelfth of the positions. Sorted by name, anchors whose stem starts in
    one document only are unique: their windows are settled, and they leave.
 2. Past ``length``. Each remaining anchor is extended over all the windows that it stands for: its name is
    paired with the bytes left and right of the stem. Sorted by these pairs, an extension seen in an earlier
@@ -70,7 +70,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def stem_of(length: int) -> int:
     """Bytes of a stem: long enough to be rarely repeated by chance, short enough to leave few anchors."""
-    return max(1, length * 16 // 25)
+    return max(1, length * 14 // 25)
 
 
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,8 +181,11 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     stay null, documents of which nothing is left stay with an empty text.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = remove_repeats(docs.withColumn("was_null", F.col("text").isNull()), length, "was_null", *others, whole_characters=True)
-    rows = rows.withColumn("text", F.when(~F.col("was_null"), F.decode("kept", "UTF-8")))
+    # The other columns travel in one, so that their names cannot clash with this operator's.
+    kept = F.struct(F.col("text").isNull().alias("null_text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    rows = remove_repeats(docs.select("doc_id", "text", kept.alias("_row")), length, "_row", whole_characters=True)
+    text = F.when(~F.col("_row.null_text"), F.decode("kept", "UTF-8"))
+    made = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"_row.c{i}") for i, c in enumerate(others)}
     if "n_chars" in others:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(made[c].alias(c) for c in docs.columns))
