@@ -19,11 +19,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,19 +30,23 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm import shared
 
-PASSAGE, BUCKETS, OVERSAMPLE = 32, 1 << 14, 8
+PASSAGE, BUCKETS, OVERSAMPLE = 32, 1 << 14, 6
 ANSWER_TERMS = 6
-NOT_WORD = re.compile(r"[\W_]+")
+STEP = PASSAGE // 2
 #: Words whose rows are handled at once: bounds the memory of a task.
-WORDS_AT_ONCE = 1 << 17
+WORDS_AT_ONCE = 1 << 15
 
 
-def word_id(word: str) -> int:
-    core = NOT_WORD.sub("", word.lower())
-    return (zlib.crc32(core.encode("utf-8", "surrogatepass")) or 1) if core else 0
-
-
-_ids = shared.WordHashes(word_id)
+def word_ids(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ids of all words of lists of words (0: nothing left of it), and where each list starts and ends."""
+    cuts = lists.offsets.to_numpy()
+    coded = lists.values.slice(int(cuts[0]), int(cuts[-1] - cuts[0])).dictionary_encode()
+    cores = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), r"[^\pL\pN]+", "").to_pylist()
+    if not cores:
+        return np.zeros(0, np.uint32), cuts - cuts[0]
+    known = np.maximum(pd.util.hash_array(np.array(cores, object), categorize=False).astype(np.uint32), 1)
+    known[np.array([not c for c in cores])] = 0
+    return known[coded.indices.to_numpy()], cuts - cuts[0]
 
 
 def with_words(rows: DataFrame, key: str) -> DataFrame:
@@ -51,8 +54,8 @@ def with_words(rows: DataFrame, key: str) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.sliced(batches):
-            ids, cuts = _ids.words_of(pc.utf8_split_whitespace(batch.column("text")), np.uint32)
+        for batch in shared.sliced(batches, 3000):
+            ids, cuts = word_ids(pc.utf8_split_whitespace(batch.column("text")))
             words = [x[x > 0].tobytes() for x in np.split(ids, cuts[1:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(words, pa.binary())], [key, "words"])
 
@@ -156,7 +159,7 @@ def common_subsequence(item: dict[int, int], size: int, words: list[int]) -> int
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 40, min_cosine: float = 0.3, min_lcs: float = 0.65, min_answer: float = 0.5, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, rank: int = 32, min_cosine: float = 0.3, min_lcs: float = 0.65, min_answer: float = 0.5, block_items: int = 20_000
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item's words) and answer (share of its answer terms)."""
     spark = docs.sparkSession
@@ -187,47 +190,70 @@ def searched(words: DataFrame, names: list, raw: list[np.ndarray], idf: np.ndarr
     terms, owner = terms[order], owner[order]
     needed = min_answer * np.array([len(x) for x in rarest])
 
-    def answered(words: np.ndarray) -> np.ndarray:
-        """Items of which a document holds enough answer terms anywhere."""
-        at, end = (np.searchsorted(terms, np.unique(words), side) for side in ("left", "right"))
-        at, n = at[end > at], (end - at)[end > at]
-        rows = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else at
-        return np.bincount(owner[rows], minlength=len(needed)) >= needed
+    low = np.zeros(1 << 16, bool)  # a word whose low bits no term has is no term
+    low[terms & 0xFFFF] = True
+
+    def answered(words: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+        """For each document of a block, the items of which it holds enough answer terms anywhere."""
+        some = np.flatnonzero(low[words & 0xFFFF])
+        words, doc = words[some], doc[some]
+        at, end = (np.searchsorted(terms, words, side) for side in ("left", "right"))
+        hit = end > at
+        at, n, doc = at[hit], (end - at)[hit], doc[hit]
+        rows = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs = np.unique(np.repeat(doc, n) * len(terms) + rows)  # a term counts once in a document
+        cells = pairs // len(terms) * len(needed) + owner[pairs % len(terms)]
+        return np.bincount(cells, minlength=docs * len(needed)).reshape(docs, -1) >= needed
+
+    def search(texts: list[np.ndarray]) -> Iterator[tuple[int, int, tuple]]:
+        """(document, item, (lcs, answer, cosine)) of a block of documents, the best passage of each."""
+        sizes = np.array([len(w) for w in texts])
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        words = np.concatenate(texts)
+        possible = answered(words, doc, len(texts))
+        # Half passages are summed once; a passage is two neighbours of one document.
+        counts = -(-sizes // STEP)
+        begin = np.cumsum(sizes) - sizes
+        owner_of_half = np.repeat(np.arange(len(texts)), counts)
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        halves = np.add.reduceat(to_latent[words & (BUCKETS - 1)], np.repeat(begin, counts) + nth * STEP, axis=0)
+        last = np.r_[owner_of_half[1:] != owner_of_half[:-1], True]
+        full = halves.copy()
+        full[:-1][~last[:-1]] += halves[1:][~last[:-1]]
+        use = np.flatnonzero((~last | (nth == 0)) & possible.any(axis=1)[owner_of_half])
+        best: dict[tuple[int, int], tuple] = {}
+        cosines = unit(full[use]) @ vectors
+        for p, i in zip(*np.nonzero((cosines >= min_cosine) & possible[owner_of_half[use]]), strict=True):
+            d, item = int(owner_of_half[use[p]]), raw[i]
+            if (d, i) in best and best[d, i][0] >= 1.0:
+                continue
+            at = int(nth[use[p]]) * STEP
+            near = texts[d][max(0, at - len(item)) : at + PASSAGE + len(item)]
+            answer = float(np.isin(rarest[i], near).mean())
+            if answer < min_answer or np.isin(item, near).mean() < min_lcs:
+                continue
+            if i not in places:
+                places[i] = {}
+                for k, x in enumerate(item.tolist()):
+                    places[i][x] = places[i].get(x, 0) | 1 << k
+            found = (common_subsequence(places[i], len(item), near.tolist()) / len(item), answer, float(cosines[p, i]))
+            if found[0] >= min_lcs and ((d, i) not in best or found > best[d, i]):
+                best[d, i] = found
+        for (d, i), found in sorted(best.items()):
+            yield d, int(i), found
+
+    places: dict[int, dict[int, int]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[int, dict[int, int]] = {}
-        step = PASSAGE // 2
         for batch in batches:
             hits: list[tuple] = []
-            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                w = np.frombuffer(blob, np.uint32)
-                if not len(w):
-                    continue
-                best: dict[int, tuple] = {}
-                possible = answered(w)
-                for start in range(0, len(w), WORDS_AT_ONCE):
-                    # Half passages are summed once; a passage is two neighbours. Blocks overlap by one half.
-                    part = w[start : start + WORDS_AT_ONCE + step]
-                    halves = np.add.reduceat(to_latent[part & (BUCKETS - 1)], np.arange(0, len(part), step), axis=0)
-                    full = unit(halves[:-1] + halves[1:] if len(halves) > 1 else halves)
-                    cosines = full @ vectors
-                    for p, i in zip(*np.nonzero((cosines >= min_cosine) & possible), strict=True):
-                        item, at, c = raw[i], start + int(p) * step, float(cosines[p, i])
-                        near = w[max(0, at - len(item)) : at + PASSAGE + len(item)]
-                        if i in best and best[i][1] >= 1.0:
-                            continue
-                        answer = float(np.isin(rarest[i], near).mean())
-                        if answer < min_answer or np.isin(item, near).mean() < min_lcs:
-                            continue
-                        if i not in places:
-                            bits: dict[int, int] = {}
-                            for k, x in enumerate(item.tolist()):
-                                bits[x] = bits.get(x, 0) | 1 << k
-                            places[i] = bits
-                        lcs = common_subsequence(places[i], len(item), near.tolist()) / len(item)
-                        if lcs >= min_lcs and (i not in best or (lcs, answer, c) > best[i][1:]):
-                            best[i] = (c, lcs, answer, c)
-                hits += [(doc, names[i], b[3], b[1], b[2]) for i, b in sorted(best.items())]
+            ids = batch.column("doc_id").to_pylist()
+            texts = [np.frombuffer(x, np.uint32) for x in batch.column("words").to_pylist()]
+            todo = [k for k, w in enumerate(texts) if len(w)]
+            while todo:  # as many documents as make a block, at least one
+                n = max(1, int(np.searchsorted(np.cumsum([len(texts[k]) for k in todo[:400]]), WORDS_AT_ONCE)))
+                part, todo = todo[:n], todo[n:]
+                hits += [(ids[part[d]], names[i], cosine, lcs, answer) for d, i, (lcs, answer, cosine) in search([texts[k] for k in part])]
             if hits:
                 columns = [*map(list, zip(*hits, strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_id").type), pa.array(columns[1]), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item_id", "cosine", "lcs", "answer"])
@@ -237,5 +263,5 @@ def searched(words: DataFrame, names: list, raw: list[np.ndarray], idf: np.ndarr
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents in which no benchmark item was found, all columns as they came."""
-    found = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("found_id"), "left_anti")
+    found = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("__found_id")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("__found_id"), "left_anti")
