@@ -4,13 +4,14 @@
    with equal sets are one class from here on, represented by their least doc_id.
 2. Each of ``bands * rows`` registers holds, for one hash function, the least hash of the set as its count
    of leading zeros and the ``MANTISSA`` bits after it: 16 bits.
-3. Registers of a band make its key. Classes that share a key are candidates: each with the least of its
-   bucket first, later (4) also others. With 48 bands of 6 registers a pair at similarity 0.8 shares no key
+3. Registers of a band make its key. Classes that share a key are candidates: each with the centre of its
+   bucket first (the class with most shared keys), later (4) also others. With 48 bands of 6 registers a pair at similarity 0.8 shares no key
    with probability under 1e-6.
-4. A candidate pair is first held against the Jaccard estimate from its registers, corrected for registers
+4. Each class meets the most shared of its centres first; pairs within a component need no test after that.
+   A candidate pair is first held against the Jaccard estimate from its registers, corrected for registers
    that collide by chance, with a margin of over eight standard deviations; then the full sets decide.
-   Buckets that still hold classes of different components are compared across the components, so that no
-   link inside a bucket is lost; pairs within a component need no test.
+   Buckets that still hold classes of different components are compared across the components, as far as an
+   exact bound allows a link (see ``across``).
 5. Components come from alternating star steps over the link table.
 
 Nulls: documents without words link with nothing; a null doc_id is ignored by the linking and returned as
@@ -113,8 +114,22 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), shared.text_or_empty().alias("text")).mapInArrow(sign, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, bands: int, rows: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+NAME_BITS = np.uint64((1 << 40) - 1)
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """A full set with 40 bits for each shingle: two sets of a thousand agree by chance once in a million."""
+    x = np.unique(shingles & NAME_BITS)
+    return (x >> np.uint64(8)).astype(np.uint32).tobytes() + (x & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(raw, np.uint8, n, 4 * n)
+
+
+def shingle_sets(pairs: DataFrame, docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """id, s (full set) and r (registers) of every document in the pairs (a, b), as a table."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), shared.text_or_empty().alias("text")).join(wanted, "id")
 
@@ -122,9 +137,13 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, bands: int, rows: int
         a, b = multipliers(bands * rows)
         for batch in batches:
             s = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([registers(x, a, b).tobytes() for x in s], pa.binary())], ["id", "s", "r"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([packed(x) for x in s], pa.binary()), pa.array([registers(x, a, b).tobytes() for x in s], pa.binary())], ["id", "s", "r"])
+
+    return shared.stored(texts.mapInArrow(sets, "id long, s binary, r binary"), "shingle-sets")
 
-    known = shared.stored(texts.mapInArrow(sets, "id long, s binary, r binary"), "shingle-sets")
+
+def verified(pairs: DataFrame, known: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     left = known.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("r").alias("ra"))
     right = known.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("r").alias("rb"))
 
@@ -136,14 +155,14 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, bands: int, rows: int
                 continue
             keep = []
             agree = np.array([np.count_nonzero(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) for x, y in zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), strict=True)]) / total
-            sizes = [np.array([len(x) // 8 for x in batch.column(c).to_pylist()], float) for c in ("sa", "sb")]
+            sizes = [np.array([len(x) // 5 for x in batch.column(c).to_pylist()], float) for c in ("sa", "sb")]
             # Sizes are rounded to powers of two for the correction, which hardly depends on them.
             chance = _chances(*sizes)
             estimate = (agree - chance) / (1 - chance)
             likely = estimate >= share - margin
             for ok, x, y in zip(likely, batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 if ok:
-                    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    u, v = unpacked(x), unpacked(y)
                     common = len(np.intersect1d(u, v, assume_unique=True))
                     ok = 100 * common >= percent * (len(u) + len(v) - common)
                 keep.append(bool(ok))
@@ -164,6 +183,60 @@ def _chances(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def deltas(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of (centre, id, c): ``delta`` (shingles that only one of id and centre has), w, and ``least``.
+
+    w > 0 if id is too far from the centre to be linked with it, by as much; ``least``: how many shingles of its
+    delta id shares at least with that of any such far one that it may be linked with.
+    """
+    left = known.select(F.col("id").alias("centre"), F.col("s").alias("sa"))
+    right = known.select("id", F.col("s").alias("sb"))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            delta, w, least = [], [], []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                u, v = unpacked(x), unpacked(y)
+                both = np.setxor1d(u, v, assume_unique=True)
+                extra = (len(both) + len(v) - len(u)) // 2
+                missing = len(both) - extra
+                delta.append(both.view(np.int64))
+                w.append(100 * missing + percent * extra - (100 - percent) * len(u))
+                least.append(-(-(1 + 100 * missing + percent * extra) // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "id", "c")), pa.array(w, pa.int64()), pa.array(least, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], ["centre", "id", "c", "w", "least", "delta"])
+
+    return pairs.join(left, "centre").join(right, "id").select("centre", "id", "c", "sa", "sb").mapInArrow(differ, "centre long, id long, c long, w long, least long, delta array<long>")
+
+
+def across(buckets: DataFrame, groups: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may still be similar.
+
+    Both have been compared with their bucket's centre h, and at least one, c, is too far from it. Let b lack m
+    shingles of h and have x others. From the sizes of intersection and union, c and b are similar only if
+    (100 + percent) * s >= w(c) + 100 * m + percent * x, where s counts the shingles in both deltas. So of b's
+    delta of d shingles, any d - least + 1 hold one that c's delta has too: the rarest are looked up. Near
+    copies of one text differ from it in different places, so few pairs come of this; it loses none.
+    """
+    bucket = Window.partitionBy("key")
+    labelled = buckets.join(groups, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
+    mixed = labelled.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi and id <> centre")
+    rows = shared.stored(deltas(mixed.select("centre", "id", "c").distinct(), known, percent), "deltas")
+    shingles = rows.select("centre", "id", "c", "w", (F.size("delta") - F.col("least") + 1).alias("prefix"), F.explode("delta").alias("e"))
+    counts = shingles.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("n"))
+    shingles = shared.stored(shingles.join(counts, ["centre", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("centre", "id").orderBy("n", "e"))).where("n > 1"), "delta-shingles")
+    far = shingles.where("w > 0").select("centre", "e", F.col("id").alias("a"), F.col("c").alias("ca"))
+    near = shingles.where("rank <= prefix").select("centre", "e", F.col("id").alias("b"), F.col("c").alias("cb"))
+    both = far.join(near, ["centre", "e"]).where("ca <> cb")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("id").alias(end), F.col("component_id").alias("c" + end)), end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
+    return pairs.where("ca <> cb").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words_a_shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id and ``kept`` of every row of ``docs``."""
     signed = shared.stored(signatures(docs, words_a_shingle, bands, rows), "signatures")
@@ -171,28 +244,36 @@ def near_duplicates(docs: DataFrame, words_a_shingle: int = 5, percent: int = 80
     # One class for each set of shingles.
     named = real.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("id").alias("class_id"))
     members = shared.stored(signed.select("id", "n_shingles", "set_lo", "set_hi").join(named, ["set_lo", "set_hi", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")), "members")
+    bucket = Window.partitionBy("key")
     classes = real.join(members.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
     keys = classes.select("id", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    buckets = shared.stored(keys.withColumn("first", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket)).where(F.col("first") < F.col("last")).drop("last"), "buckets")
-    pairs = shared.stored(buckets.where(F.col("first") < F.col("id")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = shared.stored(verified(pairs, docs, words_a_shingle, bands, rows, percent), "links")
+    shares = shared.stored(keys.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "buckets")
+    # The centre of a bucket is the class that shares most keys in all: the likely origin of its near copies.
+    known = shares.groupBy("id").agg(F.sum("n").alias("shared"))
+    centre = F.max(F.struct(F.col("shared"), (-F.col("id")).alias("minus"))).over(bucket)
+    centred = shares.join(known, "id").withColumn("top", centre).select("key", "id", (-F.col("top.minus")).alias("centre"), F.col("top.shared").alias("shared"))
+    buckets = shared.stored(centred, "buckets", free=True)
+    near = buckets.where(F.col("centre") != F.col("id")).select("id", "centre", "shared").distinct()
+    best = near.groupBy("id").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("best"))
+    ordered = near.join(best, "id").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"), (F.col("centre") == F.col("best")).alias("first"))
+    pairs = shared.stored(ordered.groupBy("a", "b").agg(F.bool_or("first").alias("first")), "pairs", free=True)
+    known = shingle_sets(pairs, docs, words_a_shingle, bands, rows)
     same = members.where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-    groups = components(links.unionByName(same))
-    # Buckets that hold several components: their classes are compared across the components.
-    labelled = buckets.select("key", "id").join(groups, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = shared.stored(labelled.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("key", "id", "c"), "mixed")
-    other = mixed.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    across = mixed.withColumnRenamed("id", "a").join(other, "key").where("a < b and c <> d").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    across = shared.stored(across, "pairs-across")
-    if not across.isEmpty():
-        more = verified(across, docs, words_a_shingle, bands, rows, percent)
-        groups = components(links.unionByName(more).unionByName(same))
+    # First every class with the best of its centres, then with the others as far as they are apart still.
+    links = shared.stored(verified(pairs.where("first").select("a", "b"), known, bands, rows, percent), "links", free=True).unionByName(same)
+    groups = components(links)
+    apart = between(pairs.where("not first").select("a", "b"), groups)
+    links = links.unionByName(shared.stored(verified(apart, known, bands, rows, percent), "links", free=True))
+    groups = components(links)
+    rest = shared.stored(across(buckets, groups, known, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-across", free=True)
+    more = shared.stored(verified(rest, known, bands, rows, percent), "links")
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
     out = members.join(groups, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The documents of ``docs`` that are the least of their component, all columns as they came."""
-    gone = near_duplicates(docs, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(docs, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")

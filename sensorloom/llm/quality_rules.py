@@ -152,5 +152,5 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, co
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
     """The documents that ``judge`` keeps, all columns as they came. Rows with equal doc_id share the strictest verdict."""
-    bad = judge(docs, **settings).where(~F.col("kept")).select(shared.order_id().alias("bad_id")).distinct()
-    return docs.join(bad, shared.order_id() == F.col("bad_id"), "left_anti")
+    bad = judge(docs, **settings).where(~F.col("kept")).select(shared.order_id().alias("__bad_id")).distinct()
+    return docs.join(bad, shared.order_id() == F.col("__bad_id"), "left_anti")
