@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom import registry
 from sensorloom.functions import columns as C
-from sensorloom.operators import rates, resample, signals
+from sensorloom.operators import decisions, rates, resample, signals
 from sensorloom.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,6 +337,24 @@ def semi_join_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").join(big, "c_custkey", "left_semi")
 
 
+@query("select lang, source, max(n_chars) n_chars from documents group by all order by n_chars desc, lang, source limit 5")
+def research_top_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.top_papers(S.table(spark, sf_dir, "documents"), ["lang", "source"], "n_chars")
+
+
+@query("with g as (select o_orderkey, o_totalprice / 500000.0 - 0.3 gain from orders) select o_orderkey, round(gain, 6) gain, (case when gain <= 0 then 0.3 when gain < 0.01 then 0.6 when gain < 0.05 then 0.8 else 0.95 end)::double confidence, case when gain >= 0 then 'accepted' else 'rejected' end verdict from g")
+def observer_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gain = F.col("o_totalprice") / 500000.0 - 0.3
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", F.round(gain, 6).alias("gain"), decisions.observer_confidence(gain).alias("confidence"), decisions.accepted_change(F.lit(0.0), gain).alias("verdict"))
+
+
+@query(f"with {EVENTS}, w as (select dataset_id, ts, case when event_id % 5 <> 0 then value end v from ev), m as (select dataset_id, v, median(v) over (partition by dataset_id order by ts rows between 2 preceding and 2 following) s from w) select dataset_id, sum((v is null)::bigint)::bigint n_missing, sum((coalesce(v, s) is null)::bigint)::bigint n_left, round(avg(coalesce(v, s)), 6) mean_value from m group by 1")
+def fill_by_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = S.events(spark, sf_dir).select("dataset_id", "ts", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("v"))
+    m = w.withColumn("filled", F.coalesce("v", resample.rolling_median("v", ["dataset_id"], "ts", 5)))
+    return m.groupBy("dataset_id").agg(F.sum(F.col("v").isNull().cast("long")).alias("n_missing"), F.sum(F.col("filled").isNull().cast("long")).alias("n_left"), F.round(F.avg("filled"), 6).alias("mean_value"))
+
+
 @query()
 def signal_pair_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dominant frequency, coherence and warping cost; held against direct formulas in the tests."""
