@@ -25,7 +25,7 @@ LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 NOT_PLAIN = re.compile(rf"[^\n -~{LETTER}]")
 PLAIN_WITH_SPACE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[0-9]+| ?[^\n 0-9{LETTER}]+|[ \n]+(?![^ \n])|[ \n]+")
 PLAIN_WITHOUT_SPACE = re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{LETTER}]+|[0-9]|[^\n 0-9{LETTER}]+")
-KEPT_CHUNKS, LONGEST_KEPT = 250_000, 48
+KEPT_CHUNKS, LONGEST_KEPT = 200_000, 48
 
 
 def byte_characters() -> dict[int, str]:
