@@ -16,28 +16,54 @@ stages are tested against brute-force versions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import decontamination, near_duplicates, packing, quality_rules, shared, substring_dedup, tokens
 
 
+_scratch: list[tuple[int, int]] = []
+
+
+def stage(f: Callable) -> Callable:
+    """A stage that first deletes the scratch tables of the one before, whose result has been written by then."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _scratch:
+            shared.drop(spark, *_scratch.pop())
+        began = shared.mark()
+        out = f(spark, docs, sf_dir)
+        _scratch.append((began, shared.mark()))
+        return out
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_duplicates.keep_one(docs, words_a_shingle=5, percent=80)
 
 
+@stage
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(docs, 50).where(F.col("text").rlike(r"\S"))
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokens.tokenizer_path("word_bpe_49k.json")))
 
@@ -56,6 +82,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of ``documents`` after all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = shared.stored(stage(spark, docs, sf_dir), f"stage-{name}", free=True)
+    for name, step in STAGES:
+        docs = shared.stored(step(spark, docs, sf_dir), f"stage-{name}", free=True)
     return docs

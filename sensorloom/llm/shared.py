@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 
 _own_folder: str | None = None
+#: Tables that this session has stored, in order; None once they are dropped.
+_made: list[str | None] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +48,7 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     spark = df.sparkSession
     path, schema = new_path(spark, name), df.schema
     df.write.options(compression="zstd").parquet(path)
+    _made.append(path)
     if free:
         del df
         for _ in range(2):  # the plans go first, then the shuffles that only they held
@@ -116,6 +119,20 @@ def ascii_words(text: str) -> list[str]:
     return [w for w in SPACES.split(text) if w]
 
 
+def mark() -> int:
+    """A place in the list of stored tables, for ``drop``."""
+    return len(_made)
+
+
+def drop(spark: SparkSession, start: int, end: int) -> None:
+    """Deletes the tables stored between two marks; nothing that is still to be computed may read them."""
+    for k in range(start, end):
+        if _made[k]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_made[k])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _made[k] = None
+
+
 def squeezed(rows: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and ``z``: the text by zstd, for texts that have to be shuffled."""
     rows = rows.select(*keep, "text")

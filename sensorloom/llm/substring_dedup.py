@@ -103,6 +103,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     by_name = Window.partitionBy("g")
     level1 = docs.select("id", "text").mapInArrow(emit, "g long, id long")
     level1 = level1.withColumn("lo", F.min("id").over(by_name)).withColumn("hi", F.max("id").over(by_name)).where("lo < hi").select("g", "id")
+    began = shared.mark()
     level1 = shared.stored(level1, "anchors", free=True)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +128,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     new = F.col("least") == F.col("id")
     level2 = level2.where("least < id or s_lo < s_hi").select("id", "th", "start", "n", *(F.when(new, F.col(c)).alias(c) for c in ("g", "left", "sides")))
     level2 = shared.stored(level2, "extensions", free=True)
+    shared.drop(docs.sparkSession, began, began + 1)
 
     whole = level2.where("sides is null").select("id", "th", "start", "n")
     single = level2.where("sides is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
