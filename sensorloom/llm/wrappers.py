@@ -6,9 +6,12 @@
    children lists are matched in order for the greatest number of equal-labelled nodes. Aligned nodes with
    equal text in every reference are template; nodes whose text differs are slots.
 3. Going down from the body, template nodes are dropped, and so are elements that are not the article by
-   their kind: menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden parts. An article
-   or main element, or a slot that holds paragraphs, is content as a whole, so that sentences which an article
-   shares with another page of the host stay.
+   their kind: menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden parts. The text is
+   sought in article and main elements if there are any, but for those that are template or mostly links
+   while the page differs from the references elsewhere. The alignment decides inside them too: blocks that
+   recur with equal text, and link lists that stand at the same place of every reference, go. Paragraphs of an
+   article or main element, and those beside a paragraph that differs, stay, so that sentences which an article
+   shares with another page of the host are kept. A reference with the very same article says nothing there.
 4. Blocks are written in page order with single spaces inside and an empty line between.
 
 Pages of a host without other pages, and pages equal to their references, are judged by kind alone.
@@ -93,7 +96,7 @@ def label(node: Node) -> str:
 
 
 class Matcher:
-    """Simple tree matching of one page with one reference; content containers count as single nodes."""
+    """Simple tree matching of one page with one reference; paragraphs count as single nodes."""
 
     def __init__(self):
         self.sizes: dict[tuple[int, int], int] = {}
@@ -105,7 +108,7 @@ class Matcher:
 
     def children(self, node: Node) -> list[Node]:
         if (found := node.kept.get("children")) is None:
-            found = node.kept["children"] = [] if is_main(node) or node.tag in FLOW else [c for c in node.elements() if c.tag not in RAW]
+            found = node.kept["children"] = [] if node.tag in FLOW else [c for c in node.elements() if c.tag not in RAW]
         return found
 
     def table(self, a: list[Node], b: list[Node]) -> list[list[int]]:
@@ -123,18 +126,31 @@ class Matcher:
             if self.label(x) != self.label(y):
                 found = 0
             else:
-                a, b = self.children(x), self.children(y)
-                found = 1 + (self.table(a, b)[-1][-1] if a and b else 0)
+                a, b, ends = self.trimmed(self.children(x), self.children(y))
+                found = 1 + ends + (self.table(a, b)[-1][-1] if a and b else 0)
             self.sizes[id(x), id(y)] = found
         return found
 
+    def trimmed(self, a: list[Node], b: list[Node], out: dict[int, Node] | None = None) -> tuple[list[Node], list[Node], int]:
+        """Without equal paragraphs at both ends, which some best matching pairs; how many these are."""
+        same = lambda x, y: x.tag in FLOW and self.label(x) == self.label(y)
+        i, most = 0, min(len(a), len(b))
+        while i < most and same(a[i], b[i]):
+            i += 1
+        j = 0
+        while j < most - i and same(a[-1 - j], b[-1 - j]):
+            j += 1
+        if out is not None:
+            out.update((id(x), y) for x, y in [*zip(a[:i], b[:i]), *zip(a[len(a) - j :], b[len(b) - j :])])
+        return a[i : len(a) - j], b[i : len(b) - j], i + j
+
     def align(self, x: Node, y: Node, out: dict[int, Node]) -> None:
         """Partners in ``y`` of the nodes below ``x``."""
         todo = [(x, y)]
         while todo:
             x, y = todo.pop()
             out[id(x)] = y
-            a, b = self.children(x), self.children(y)
+            a, b, _ = self.trimmed(self.children(x), self.children(y), out)
             if not a or not b:
                 continue
             rows, i, j = self.table(a, b), len(a), len(b)
@@ -159,12 +175,13 @@ class Extractor:
             if other.plain() != body.plain():
                 self.partners.append({})
                 Matcher().align(body, other, self.partners[-1])
+        self.telling = self.partners
         self.blocks: list[str] = []
         self.inline: list[str] = []
 
     def constant(self, node: Node) -> bool:
-        """Aligned in every reference, with the same text."""
-        return bool(self.partners) and all((y := p.get(id(node))) is not None and y.plain() == node.plain() for p in self.partners)
+        """Aligned in every telling reference, with the same text."""
+        return bool(self.telling) and all((y := p.get(id(node))) is not None and y.plain() == node.plain() for p in self.telling)
 
     def end_block(self) -> None:
         if self.inline:
@@ -172,10 +189,16 @@ class Extractor:
                 self.blocks.append(text)
             self.inline = []
 
-    def content(self, node: Node, inside: bool, slot: bool) -> None:
-        """Writes what is article below ``node``. ``slot``: constant paragraphs are content too."""
+    def article(self, node: Node) -> None:
+        """Writes an article or main element. References with an equal one do not tell template from text."""
+        self.telling = [p for p in self.partners if (y := p.get(id(node))) is not None and y.plain() != node.plain()]
+        self.content(node, True, True)
+        self.telling = self.partners
+
+    def content(self, node: Node, inside: bool, slot: bool, skip: frozenset[int] = frozenset()) -> None:
+        """Writes what is article below ``node``, but for ``skip``. ``slot``: constant paragraphs are content too."""
         here = inside or is_main(node)
-        slot = slot or here or any(c.tag in FLOW and not self.constant(c) for c in node.elements())
+        slot = slot or is_main(node) or any(c.tag in FLOW and not self.constant(c) for c in node.elements())
         for child in node.children:
             if isinstance(child, str):
                 self.inline.append(child)
@@ -186,8 +209,11 @@ class Extractor:
             block = child.tag in BLOCK
             if block:
                 self.end_block()
-            if not is_other(child, here) and (here or not block or (slot and child.tag in FLOW) or not self.constant(child)) and (here or not self.link_list(child)):
-                self.content(child, here, slot and child.tag in FLOW)
+            if id(child) not in skip and not is_other(child, here) and (not block or (slot and child.tag in FLOW) or not self.constant(child)) and not self.menu(child, here):
+                if is_main(child) and not here:
+                    self.article(child)
+                else:
+                    self.content(child, here, slot and child.tag in FLOW, skip)
             if block:
                 self.end_block()
 
@@ -195,8 +221,29 @@ class Extractor:
         """A list whose text is mostly that of links: a menu without a name."""
         if node.tag not in ("ul", "ol", "div", "table"):
             return False
+        return self.linked(node) and not any(x.tag in FLOW for x in node.walk())
+
+    def linked(self, node: Node) -> bool:
         links = sum(len(x.plain()) for x in node.walk() if x.tag == "a")
-        return links > 0 and links >= 0.6 * len(node.plain()) and not any(x.tag in FLOW for x in node.walk())
+        return links > 0 and links >= 0.6 * len(node.plain())
+
+    def menu(self, node: Node, inside: bool) -> bool:
+        """A link list; inside an article, which may list its sources, one at this place of every reference."""
+        if not self.link_list(node):
+            return False
+        return not inside or bool(self.telling) and all((y := p.get(id(node))) is not None and self.link_list(y) for p in self.telling)
+
+    def differs_outside(self, body: Node, tops: list[Node]) -> bool:
+        """Whether a paragraph outside ``tops``, and not of another kind than article, is not template."""
+        todo, skip = [body], {id(x) for x in tops}
+        while todo:
+            node = todo.pop()
+            for c in node.elements():
+                if id(c) not in skip and not is_other(c, False):
+                    if c.tag in FLOW and self.partners and c.plain() and not self.linked(c) and not self.constant(c):
+                        return True
+                    todo.append(c)
+        return False
 
 
 def depth_limited(node: Node, most: int = 400) -> bool:
@@ -240,8 +287,16 @@ def main_text(html: str, references: list[Node] = ()) -> str:
             up = up.parent
         if clear:
             tops.append(x)
-    for node in tops or [body]:
-        out.content(node, bool(tops), bool(tops))
+    poor = [x for x in tops if out.constant(x) or out.linked(x)]
+    if poor and len(poor) == len(tops) and not out.differs_outside(body, tops):
+        poor = []  # nothing else on the page is the article
+    skip = frozenset(map(id, poor))
+    if good := [x for x in tops if id(x) not in skip]:
+        for node in good:
+            out.article(node)
+            out.end_block()
+    else:
+        out.content(body, False, False, skip)
         out.end_block()
     return "\n\n".join(out.blocks)
 

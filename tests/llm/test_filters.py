@@ -121,6 +121,21 @@ def test_template_is_what_pages_share(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_alignment_decides_inside_articles():
+    page = lambda n, head="": f'<body><main class="m">{head}<h1>Title {n}</h1><div class="zq1">Read our app</div><p>Story {n} is told.</p><p>A shared sentence.</p><div class="k7"><p>Part {n} of it.</p><p>As ever.</p></div><ul class="v"><li><a href="/{n}">Other {n}</a></ul><div class="zq2"><p>Write to us</p></div></main></body>'
+    bodies = [wrappers.body_of(parse(page(n))) for n in (1, 9)]
+    want = "Title 4\n\nStory 4 is told.\n\nA shared sentence.\n\nPart 4 of it.\n\nAs ever."
+    assert wrappers.main_text(page(4), bodies) == want
+    # A reference with the same article, under another head, does not make it template.
+    copy = page(4).replace("<body>", "<body><p>Of Monday</p>")
+    assert set(want.split("\n\n")) <= set(wrappers.main_text(page(4), [wrappers.body_of(parse(copy))]).split("\n\n"))
+
+
+def test_output_is_not_restricted_to_teasers():
+    page = lambda n: f'<body><div class="x"><p>Story {n} is told.</p><p>More of {n}.</p></div><article class="y"><p>Our paper since 1900</p></article><article class="z"><h3><a href="/{n}">Next: {n}</a></h3></article></body>'
+    assert wrappers.main_text(page(4), [wrappers.body_of(parse(page(n))) for n in (1, 9)]) == "Story 4 is told.\n\nMore of 4."
+
+
 def test_parser_closes_open_elements():
     body = parse("<p>a<b>b<p>c<table><tr><td>d<td>e<tr><td>f</table><li>g<li>h")
     assert body.plain() == "a b c d e f g h".replace("a b", "ab", 1)
