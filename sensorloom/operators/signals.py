@@ -1,13 +1,15 @@
 """Similarity of two signals: distributions, cross-correlation, noise; and small grouped kernels in numpy.
 
-Pairs are positional: rows carry (keys, pos, x, y). The numpy kernels get one signal pair per group, whose length
-the pipeline bounds at 2000 points.
+Pairs are positional: rows carry (keys, pos, x, y). The numpy kernels get one signal pair per group, all of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +43,39 @@ def wasserstein(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("similarity", clip(F.exp(-F.col("distance") / (3 * (F.col("sigma") + 1e-6)))))
 
 
-def cross_correlation(pairs: DataFrame, keys: list[str], most: int = 500) -> DataFrame:
-    """Peak of the mean-centred signed cross-correlation and its lag, relationally; for up to ``most`` points."""
-    w = Window.partitionBy(*keys)
-    rows = pairs.where(F.col("pos") < most).withColumn("xc", F.col("x") - F.avg("x").over(w)).withColumn("yc", F.col("y") - F.avg("y").over(w))
-    a, b = rows.select(*keys, F.col("pos").alias("i"), "xc"), rows.select(*keys, F.col("pos").alias("j"), "yc")
-    sums = a.join(b, keys).groupBy(*keys, (F.col("i") - F.col("j")).alias("lag")).agg(F.sum(F.col("xc") * F.col("yc")).alias("corr"))
+def cross_correlation(pairs: DataFrame, keys: list[str], block: int = 1 << 14) -> DataFrame:
+    """Peak of the mean-centred signed cross-correlation over all lags of the whole signals, and its lag.
+
+    Signals are cut into blocks of positions; each pair of blocks gives its sums per lag by FFT, which are added up.
+    """
+    means = pairs.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    rows = pairs.join(means, keys).select(*keys, "pos", (F.col("x") - F.col("mx")).alias("xc"), (F.col("y") - F.col("my")).alias("yc"))
+    place = F.floor(F.col("pos") / block).cast("long")
+    one = lambda c, k, v: rows.groupBy(*keys, place.alias(k)).agg(F.collect_list(F.struct((F.col("pos") - place * block).alias("at"), F.col(c).alias("v"))).alias(v))
+    both = one("xc", "i", "a").join(one("yc", "j", "b"), keys).select(*keys, ((F.col("i") - F.col("j")) * block).alias("shift"), "a.at", F.col("a.v").alias("x"), F.col("b.at").alias("bt"), F.col("b.v").alias("y"))
+
+    def spread(at: list[int], values: list[float]) -> np.ndarray:
+        """Spectra of the values and of their number at each place of a block."""
+        out = np.zeros((2, 2 * block))
+        np.add.at(out, (0, at), np.nan_to_num(np.array(values, float)))
+        np.add.at(out, (1, at), [v is not None for v in values])
+        return np.fft.rfft(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                at, x, bt, y = (row.column(c)[0].as_py() for c in ("at", "x", "bt", "y"))
+                sums, counts = np.fft.irfft(spread(at, x) * spread(bt, y).conj(), 2 * block)
+                some = np.flatnonzero(counts > 0.5)
+                lags = row.column("shift")[0].as_py() + np.where(some < block, some, some - 2 * block)
+                columns = [pa.repeat(row.column(c)[0], len(some)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lags, pa.int64()), pa.array(sums[some])], [*keys, "lag", "corr"])
+
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keys)
+    sums = both.mapInArrow(run, f"{kinds}, lag long, corr double").groupBy(*keys, "lag").agg(F.sum("corr").alias("corr"))
     norms = rows.groupBy(*keys).agg((F.sqrt(F.sum(F.col("xc") * F.col("xc"))) * F.sqrt(F.sum(F.col("yc") * F.col("yc")))).alias("norm"))
-    best = sums.groupBy(*keys).agg(F.max(F.struct(F.round("corr", 9).alias("corr"), (-F.col("lag")).alias("minus"))).alias("m"))
+    best = sums.groupBy(*keys).agg(F.max(F.struct((F.round("corr", 9) + 0.0).alias("corr"), (-F.col("lag")).alias("minus"))).alias("m"))
     return best.join(norms, keys).select(*keys, (-F.col("m.minus")).alias("lag"), (F.col("m.corr") / (F.col("norm") + 1e-9)).alias("peak"))
 
 
@@ -95,13 +122,14 @@ def dtw(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def pair_kernels(pairs: DataFrame, key: str, rate: float, dtw_points: int = 600) -> DataFrame:
-    """key, dominant frequencies, coherence and normalised warping cost of each signal pair."""
+    """key, dominant frequencies, coherence and normalised warping cost (of the whole signals, resampled) of each signal pair."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         x, y = rows["x"].to_numpy(float), rows["y"].to_numpy(float)
-        thin = lambda s: np.interp(np.linspace(0, len(s) - 1, min(len(s), dtw_points)), np.arange(len(s)), s)
-        cost = dtw(thin(x), thin(y)) / (2 * len(x) * (x.std() + y.std() + 1e-6))
+        thin = lambda s, n: np.interp(np.linspace(0, len(s) - 1, min(len(s), n)), np.arange(len(s)), s)
+        xs, ys = thin(x, 2000), thin(y, 2000)
+        cost = dtw(thin(xs, dtw_points), thin(ys, dtw_points)) / (2 * len(xs) * (xs.std() + ys.std() + 1e-6))
         return pd.DataFrame({key: [rows[key].iloc[0]], "freq_x": [dominant_frequency(x, rate)], "freq_y": [dominant_frequency(y, rate)], "coherence": [coherence(x, y)], "dtw": [min(1.0, max(0.0, cost))]})
 
     kind = pairs.schema[key].dataType.simpleString()

@@ -186,8 +186,14 @@ def keep_max_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {IMU} select pos, " + ", ".join(f"round(sqrt({s}_x{d}*{s}_x{d}+{s}_y{d}*{s}_y{d}+{s}_z{d}*{s}_z{d}), 6) {s}_dataset{d}" for s in ("acc", "gyro") for d in (1, 2)) + " from imu where pos < 1000")
 def magnitude_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 1000 rows, as its SQL has it; all rows are those of ``magnitude_overlay_whole``."""
+    return magnitude_overlay_whole(spark, sf_dir).where("pos < 1000")
+
+
+@query()
+def magnitude_overlay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lambda s, d: F.round(C.magnitude(*(F.col(f"{s}_{a}{d}") for a in "xyz")), 6).alias(f"{s}_dataset{d}")
-    return S.imu(spark, sf_dir).where("pos < 1000").select("pos", *(m(s, d) for s in ("acc", "gyro") for d in (1, 2)))
+    return S.imu(spark, sf_dir).select("pos", *(m(s, d) for s in ("acc", "gyro") for d in (1, 2)))
 
 
 @query(f"with {IMU}, a as (select label, avg(sqrt(acc_x1*acc_x1+acc_y1*acc_y1+acc_z1*acc_z1)) m from imu group by 1) select label, round(m, 6) mean_magnitude, case when m between 0.7 and 1.3 then 'g' when m between 8 and 11 then 'ms2' else 'unknown' end unit, round(m * case when m between 0.7 and 1.3 then 9.81 else 1.0 end, 6) scaled from a")
@@ -237,7 +243,18 @@ def snr_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PAIR}, c as (select pos, x - avg(x) over () x, y - avg(y) over () y from pair where pos < 300), s as (select a.pos - b.pos lag, round(sum(a.x * b.y), 9) corr from c a, c b group by 1), t as (select lag, corr, row_number() over (order by corr desc, lag) rn from s) select lag, round(corr / ((select sqrt(sum(x*x)) * sqrt(sum(y*y)) from c) + 1e-9), 6) peak, greatest(-5.0, least(5.0, lag / 20.0)) offset_seconds from t where rn = 1")
 def xcorr_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = signals.cross_correlation(S.pair(spark, sf_dir, 300), ["grp"], 300)
+    """Of the first 300 rows, as its SQL has it; the whole signals are those of ``xcorr_offset_whole``."""
+    return peak_offset(S.pair(spark, sf_dir).where("pos < 300"))
+
+
+@query()
+def xcorr_offset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag of the greatest correlation over the whole length; held against numpy in the tests."""
+    return peak_offset(S.pair(spark, sf_dir))
+
+
+def peak_offset(pairs: DataFrame) -> DataFrame:
+    best = signals.cross_correlation(pairs, ["grp"])
     return best.select("lag", F.round("peak", 6).alias("peak"), C.clip(F.col("lag") / 20.0, -5.0, 5.0).alias("offset_seconds"))
 
 

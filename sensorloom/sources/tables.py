@@ -21,9 +21,9 @@ def imu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)))
 
 
-def pair(spark: SparkSession, sf_dir: str, most: int = 2000) -> DataFrame:
+def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """grp, pos, x, y: acceleration magnitudes of the two datasets (absent axes count as 0)."""
     from sensorloom.functions.columns import magnitude
 
     m = lambda d: magnitude(*(F.col(f"acc_{a}{d}") for a in "xyz"), nulls="skip")
-    return imu(spark, sf_dir).where(F.col("pos") < most).select(F.lit("imu").alias("grp"), "pos", m(1).alias("x"), m(2).alias("y"))
+    return imu(spark, sf_dir).select(F.lit("imu").alias("grp"), "pos", m(1).alias("x"), m(2).alias("y"))
