@@ -8,6 +8,8 @@
 3. Passages, now overlapping by half, and benchmark items are mapped to the latent space (whitened by the
    singular values); pairs with a cosine of at least ``min_cosine`` are candidates. All passages of all
    documents are searched, against the benchmark in blocks of ``block_items``.
+   No item is lost by its cosine: a document that holds enough of an item's answer terms, but got no hit from
+   these candidates, has every passage tried around which enough of the item's words stand.
 4. A candidate counts if the longest common subsequence of the item and the words around the passage has at
    least ``min_lcs`` of the item's words, so that changed or added words do not hide it, and if at least
    ``min_answer`` of the item's answer terms (its rarest words) are there.
@@ -223,15 +225,16 @@ def searched(words: DataFrame, names: list, raw: list[np.ndarray], idf: np.ndarr
         use = np.flatnonzero((~last | (nth == 0)) & possible.any(axis=1)[owner_of_half])
         best: dict[tuple[int, int], tuple] = {}
         cosines = unit(full[use]) @ vectors
-        for p, i in zip(*np.nonzero((cosines >= min_cosine) & possible[owner_of_half[use]]), strict=True):
-            d, item = int(owner_of_half[use[p]]), raw[i]
+
+        def verify(p: int, d: int, i: int) -> None:
+            item = raw[i]
             if (d, i) in best and best[d, i][0] >= 1.0:
-                continue
+                return
             at = int(nth[use[p]]) * STEP
             near = texts[d][max(0, at - len(item)) : at + PASSAGE + len(item)]
             answer = float(np.isin(rarest[i], near).mean())
             if answer < min_answer or np.isin(item, near).mean() < min_lcs:
-                continue
+                return
             if i not in places:
                 places[i] = {}
                 for k, x in enumerate(item.tolist()):
@@ -239,6 +242,20 @@ def searched(words: DataFrame, names: list, raw: list[np.ndarray], idf: np.ndarr
             found = (common_subsequence(places[i], len(item), near.tolist()) / len(item), answer, float(cosines[p, i]))
             if found[0] >= min_lcs and ((d, i) not in best or found > best[d, i]):
                 best[d, i] = found
+
+        for p, i in zip(*np.nonzero((cosines >= min_cosine) & possible[owner_of_half[use]]), strict=True):
+            verify(p, int(owner_of_half[use[p]]), i)
+        # The rest exactly: the words around a passage that an item has bound their common subsequence.
+        starts = np.searchsorted(owner_of_half[use], np.arange(len(texts) + 1))
+        for d, i in zip(*np.nonzero(possible), strict=True):
+            if (d, i) in best:
+                continue
+            passages = np.arange(starts[d], starts[d + 1])
+            at, size = nth[use[passages]] * STEP, len(raw[i])
+            sums = np.r_[0, np.cumsum(np.isin(texts[d], raw[i]))]
+            ends = np.minimum(at + PASSAGE + size, len(texts[d]))
+            for p in passages[sums[ends] - sums[np.maximum(at - size, 0)] >= min_lcs * size]:
+                verify(p, int(d), i)
         for (d, i), found in sorted(best.items()):
             yield d, int(i), found
 

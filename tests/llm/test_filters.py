@@ -95,6 +95,31 @@ def test_decontamination(spark, odd, none):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_loses_nothing_by_cosine(spark):
+    import random
+
+    rng = random.Random(5)
+    say = lambda n: [rng.choice("abcdefghij") + rng.choice("klmnopqrst") + str(rng.randrange(40)) for _ in range(n)]
+    items = [say(n) for n in (8, 15, 30, 60, 120)]
+    changed = lambda x: [w if k % 5 else "other" for k, w in enumerate(x)]
+    docs, planted, verbatim = [], set(), set()
+    for i, item in enumerate(items):
+        for k, text in enumerate((item, changed(item))):
+            for at in (0, 37, 400):
+                docs.append((len(docs), " ".join([*(w := say(400))[:at], *text, *w[at:]])))
+                planted.add((docs[-1][0], i))
+                if not k:
+                    verbatim.add((docs[-1][0], i))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    lcs = lambda a, b: decontamination.common_subsequence({w: sum(1 << k for k, v in enumerate(a) if v == w) for w in a}, len(a), b)
+    brute = {(d, i) for d, text in docs for i, item in enumerate(items) for w in [text.split()] for at in range(0, len(w), 16) if lcs(item, w[max(0, at - len(item)) : at + 32 + len(item)]) >= 0.65 * len(item)}
+    assert planted <= brute
+    for cosine in (0.3, 2.0):  # 2: nothing comes from the latent space
+        rows = [(r.doc_id, r.item_id) for r in decontamination.contaminated(frame, bench, min_cosine=cosine, min_answer=0.0).collect()]
+        assert sorted(rows) == sorted(brute)
+        assert verbatim <= {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame, bench, min_cosine=cosine).collect()}
+
+
 def test_common_subsequence():
     places = {1: 0b001, 2: 0b010, 3: 0b100}
     assert decontamination.common_subsequence(places, 3, [9, 1, 3, 2, 3]) == 3
