@@ -3,9 +3,11 @@
 1. Each message is cut into lines; the number of leading ``>`` is a line's quote level. Level 0 is the
    message's own text. Runs of lines at one level are quoted passages. A line such as "Ann wrote:" right
    before a quotation belongs to it.
-2. Quoted passages, whole and line by line, are normalised (case, white space) and hashed; so are the own
-   texts of the messages, whole, by paragraph and by line. Equal hashes in one conversation link a quoting
-   message to the first message that wrote the passage, if that came earlier.
+2. Quoted passages, whole, by paragraph and by line, are normalised (case, white space) and hashed; so are
+   the own texts of the messages. Blank quoted lines part paragraphs. So are overlapping runs of ``RUN`` words
+   of both, for paragraphs of which a part is quoted or whose lines are wrapped anew. Equal hashes in one
+   conversation link a quoting message to the first message that wrote the passage, if that came earlier;
+   runs count where a message's passage shares nothing else with an earlier one.
 3. The shallowest level links to the parent; with several candidates, the most quoted characters, then the
    latest turn. ``root_turn`` and ``depth`` follow by pointer doubling over the links.
 
@@ -29,6 +31,8 @@ from sensorloom.llm import shared
 QUOTE = r"^[ \t]*(?:>[ \t]*)+"
 ATTRIBUTION = r"(?i)(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
 NO_STRINGS = "array<string>"
+#: Words of a run by which partial quotations are found.
+RUN = 5
 
 
 def normal(text: Column) -> Column:
@@ -50,7 +54,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     # A run ends before the next line of another kind.
     last = F.filter(F.transform("kind", lambda k, i: F.when((k > 0) & (F.coalesce(F.get("kind", i + 1), F.lit(0)) != k), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("last", last)
-    passages = F.zip_with("first", "last", lambda a, b: F.struct(F.get("kind", a).alias("level"), F.filter(F.slice("body", a + 1, b - a + 1), lambda x: x != "").alias("lines")))
+    passages = F.zip_with("first", "last", lambda a, b: F.struct(F.get("kind", a).alias("level"), F.slice("body", a + 1, b - a + 1).alias("lines")))
     return rows.select("conv_id", "turn", "role", "own", passages.alias("passages"))
 
 
@@ -59,18 +63,44 @@ def hashed(units: Column) -> Column:
     return F.transform(F.array_distinct(F.filter(units, lambda x: x != "")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
 
 
+def with_runs(rows: DataFrame) -> DataFrame:
+    """``runs``: (hash, length) of the overlapping runs of ``RUN`` words of the normalised ``text``.
+
+    The words are a column of their own, so that they are not split anew for each run.
+    """
+    rows = rows.withColumn("words", F.split("text", " ", -1)).withColumn("w", F.transform("words", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
+    starts = F.when(F.size("w") >= RUN, F.sequence(F.lit(1), F.size("w") - RUN + 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("s", F.transform(starts, lambda i: F.slice("w", i, RUN)))
+    one = lambda x: F.struct(F.xxhash64(x["h"]).alias("h"), F.aggregate(x["n"], F.lit(RUN - 1), lambda a, n: a + n).alias("n"))
+    return rows.withColumn("runs", F.array_distinct(F.transform("s", one))).drop("text", "words", "w", "s")
+
+
+def paragraphs(lines: Column) -> Column:
+    """Lines joined between blank ones, normalised."""
+    return F.transform(F.split(F.array_join(lines, "\n"), r"\n\n+"), normal)
+
+
 def links(rows: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn: the earlier message that each quoting message answers; one row a message."""
     usable = rows.where("conv_id is not null and turn is not null")
     quoting = usable.where(F.size("passages") > 0)
-    quoted = quoting.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", F.explode(hashed(F.concat(F.array(F.array_join("p.lines", " ")), "p.lines"))).alias("u"))
-    quoted = quoted.select("conv_id", "turn", "level", "u.h", "u.n").distinct()
-    whole = F.array(normal(F.col("own")))
+    lines = F.col("p.lines")
+    whole = normal(F.array_join(lines, " "))
+    quoted = quoting.select("conv_id", "turn", F.posexplode("passages").alias("place", "p"))
+    quoted = quoted.select("conv_id", "turn", "place", "p.level", hashed(F.concat(F.array(whole), paragraphs(lines), lines)).alias("units"), whole.alias("text"))
+    own = normal(F.col("own"))
     blocks = F.transform(F.split("own", r"\n[ \t]*\n"), normal)
-    lines = F.transform(F.split("own", "\n"), normal)
-    written = usable.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(hashed(F.concat(whole, blocks, lines))).alias("u"))
-    written = written.groupBy("conv_id", "u.h").agg(F.min("turn").alias("source"))
-    found = quoted.join(written, ["conv_id", "h"]).where(F.col("source") < F.col("turn"))
+    own_lines = F.transform(F.split("own", "\n"), normal)
+    written = usable.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", hashed(F.concat(F.array(own), blocks, own_lines)).alias("units"), own.alias("text"))
+
+    def matched(kind: str, quoted: DataFrame, written: DataFrame) -> DataFrame:
+        first = written.select("conv_id", "turn", F.explode(kind).alias("u")).groupBy("conv_id", "u.h").agg(F.min("turn").alias("source"))
+        said = quoted.select("conv_id", "turn", "place", "level", F.explode(kind).alias("u")).select("conv_id", "turn", "place", "level", "u.h", "u.n").distinct()
+        return said.join(first, ["conv_id", "h"]).where(F.col("source") < F.col("turn"))
+
+    exact = matched("units", quoted, written)
+    rest = matched("runs", with_runs(quoted), with_runs(written)).join(exact.select("conv_id", "turn", "place").distinct(), ["conv_id", "turn", "place"], "left_anti")
+    found = exact.unionByName(rest).select("conv_id", "turn", "source", "level", "h", "n").distinct()
     found = found.groupBy("conv_id", "turn", "source").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
     best = F.max_by("source", F.struct(-F.col("level"), F.col("n"), F.col("source")))
     return found.groupBy("conv_id", "turn").agg(best.alias("parent_turn"))

@@ -175,3 +175,14 @@ def test_quotations(spark):
     assert (1, 1, "Fine thanks.\nAnd you?", 0, 0, 1, 1) in got and (1, 2, "good", 1, 0, 2, 2) in got and (1, 3, "ok", 1, 0, 2, 1) in got
     assert (1, 4, "", None, 4, 0, 0) in got and got.count((2, 0, "self", None, 0, 0, 1)) == 2
     assert quotations.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_quotations_wrapped_anew(spark):
+    three = "The first paragraph says a few words\nover two lines of text.\n\nThe second paragraph speaks of rivers and of bridges in the north.\n\nThe third one ends the letter with greetings to everybody at home."
+    wrapped = "> the first paragraph says\n> a few words over two\n> lines of text.\n>\n> The second paragraph speaks of rivers\n> and of bridges in\n> the north.\nI agree."
+    part = "> paragraph speaks of rivers and\n> of bridges\nWhich ones?"
+    rows = [(1, 0, three), (1, 1, "Something else was said here."), (1, 2, wrapped), (1, 3, part), (1, 4, ">> which ones?\n> no such words were ever said by anybody here\nfine"), (1, 5, "> of rivers\nshort")]
+    df = quotations.link_quotations(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))
+    assert native(df)
+    got = {r.turn: (r.parent_turn, r.root_turn, r.depth, r.n_quoted) for r in df.collect()}
+    assert got == {0: (None, 0, 0, 0), 1: (None, 1, 0, 0), 2: (0, 0, 1, 1), 3: (0, 0, 1, 1), 4: (3, 0, 2, 2), 5: (None, 5, 0, 1)}
