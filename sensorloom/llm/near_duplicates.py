@@ -9,13 +9,14 @@
    with probability under 1e-6.
 4. Each class meets the most shared of its centres first; pairs within a component need no test after that.
    A candidate pair is first held against the Jaccard estimate from its registers, corrected for registers
-   that collide by chance, with a margin of over eight standard deviations; then the full sets decide.
+   that collide by chance, with a margin of over eight standard deviations; then the full sets (64 bits for each
+   shingle) decide.
    Buckets that still hold classes of different components are compared across the components, as far as an
    exact bound allows a link (see ``across``).
 5. Components come from alternating star steps over the link table.
 
-Nulls: documents without words link with nothing; a null doc_id is ignored by the linking and returned as
-its own component (null). Rows with equal doc_id and different texts share one component. Empty tables give
+Nulls: documents without words link with nothing; a null doc_id (or one that is no integer) is ignored by the
+linking and returned as its own component (null). Rows with equal doc_id and different texts share one component. Empty tables give
 no rows; extra columns are ignored.
 """
 
@@ -114,32 +115,27 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), shared.text_or_empty().alias("text")).mapInArrow(sign, schema)
 
 
-NAME_BITS = np.uint64((1 << 40) - 1)
-
-
-def packed(shingles: np.ndarray) -> bytes:
-    """A full set with 40 bits for each shingle: two sets of a thousand agree by chance once in a million."""
-    x = np.unique(shingles & NAME_BITS)
-    return (x >> np.uint64(8)).astype(np.uint32).tobytes() + (x & np.uint64(255)).astype(np.uint8).tobytes()
-
-
 def unpacked(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(raw, np.uint8, n, 4 * n)
+    """A full set, 64 bits for each shingle, from its bytes."""
+    return np.frombuffer(raw, np.uint64)
 
 
 def shingle_sets(pairs: DataFrame, docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """id, s (full set) and r (registers) of every document in the pairs (a, b), as a table."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), shared.text_or_empty().alias("text")).join(wanted, "id")
+    """id, s (full set) and r (registers) of every document in the pairs (a, b), as a table.
+
+    Joined by merging whatever the sizes, so that the work grows evenly with the input; texts travel squeezed.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = shared.squeezed(docs.select(F.col("doc_id").cast("long").alias("id"), shared.text_or_empty().alias("text")).where("id is not null"), "id")
+    texts = texts.join(wanted.hint("merge"), "id").select("id", "z")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(bands * rows)
-        for batch in batches:
-            s = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([packed(x) for x in s], pa.binary()), pa.array([registers(x, a, b).tobytes() for x in s], pa.binary())], ["id", "s", "r"])
+        for batch in shared.sliced(batches):
+            s = [shingle_set(t.decode(), size) for t in shared.bytes_of(batch.column("z").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([registers(x, a, b).tobytes() for x in s], pa.binary())], ["id", "s", "r"])
 
-    return shared.stored(texts.mapInArrow(sets, "id long, s binary, r binary"), "shingle-sets")
+    return shared.stored(texts.mapInArrow(sets, "id long, s binary, r binary"), "shingle-sets", free=True)
 
 
 def verified(pairs: DataFrame, known: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
@@ -155,7 +151,7 @@ def verified(pairs: DataFrame, known: DataFrame, bands: int, rows: int, percent:
                 continue
             keep = []
             agree = np.array([np.count_nonzero(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) for x, y in zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), strict=True)]) / total
-            sizes = [np.array([len(x) // 5 for x in batch.column(c).to_pylist()], float) for c in ("sa", "sb")]
+            sizes = [np.array([len(x) // 8 for x in batch.column(c).to_pylist()], float) for c in ("sa", "sb")]
             # Sizes are rounded to powers of two for the correction, which hardly depends on them.
             chance = _chances(*sizes)
             estimate = (agree - chance) / (1 - chance)
@@ -208,8 +204,8 @@ def deltas(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "centre").join(right, "id").select("centre", "id", "c", "sa", "sb").mapInArrow(differ, "centre long, id long, c long, w long, least long, delta array<long>")
 
 
-def across(buckets: DataFrame, groups: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may still be similar.
+def across(buckets: DataFrame, groups: DataFrame, known: DataFrame, percent: int, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, not ``tried`` yet, that share a bucket and may still be similar; a table.
 
     Both have been compared with their bucket's centre h, and at least one, c, is too far from it. Let b lack m
     shingles of h and have x others. From the sizes of intersection and union, c and b are similar only if
@@ -217,17 +213,23 @@ def across(buckets: DataFrame, groups: DataFrame, known: DataFrame, percent: int
     delta of d shingles, any d - least + 1 hold one that c's delta has too: the rarest are looked up. Near
     copies of one text differ from it in different places, so few pairs come of this; it loses none.
     """
-    bucket = Window.partitionBy("key")
-    labelled = buckets.join(groups, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
-    mixed = labelled.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi and id <> centre")
-    rows = shared.stored(deltas(mixed.select("centre", "id", "c").distinct(), known, percent), "deltas")
+    labelled = shared.stored(buckets.select("key", "id", "centre").join(groups, "id", "left").select("key", "id", "centre", F.coalesce("component_id", "id").alias("c")), "labelled")
+    mixed = shared.stored(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
+    apart = labelled.where("id <> centre").join(mixed.hint("merge"), "key").select("centre", "id", "c").distinct()
+    rows = shared.stored(deltas(apart, known, percent), "deltas")
+    shared.discard(labelled, mixed)
     shingles = rows.select("centre", "id", "c", "w", (F.size("delta") - F.col("least") + 1).alias("prefix"), F.explode("delta").alias("e"))
-    counts = shingles.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("n"))
-    shingles = shared.stored(shingles.join(counts, ["centre", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("centre", "id").orderBy("n", "e"))).where("n > 1"), "delta-shingles")
+    counts = shared.stored(shingles.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("n")), "delta-counts")
+    # A window holds one delta: no more rows than two sets have shingles.
+    shingles = shared.stored(shingles.join(counts.hint("merge"), ["centre", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("centre", "id").orderBy("n", "e"))).where("n > 1"), "delta-shingles")
+    shared.discard(rows, counts)
     far = shingles.where("w > 0").select("centre", "e", F.col("id").alias("a"), F.col("c").alias("ca"))
     near = shingles.where("rank <= prefix").select("centre", "e", F.col("id").alias("b"), F.col("c").alias("cb"))
     both = far.join(near, ["centre", "e"]).where("ca <> cb")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = shared.stored(both.join(tried, ["a", "b"], "left_anti"), "pairs-across", free=True)
+    shared.discard(shingles)
+    return pairs
 
 
 def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -237,36 +239,62 @@ def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.where("ca <> cb").select("a", "b")
 
 
+def classes_of(signed: DataFrame) -> DataFrame:
+    """id, n_shingles and class_id (least id with the same set) of every row.
+
+    Only sets that several rows have are joined back, from a table, so that a large group of copies can be split.
+    """
+    real = signed.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "set_lo", "set_hi")
+    shared_sets = real.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("id").alias("class_id"), F.max("id").alias("last")).where("class_id < last").drop("last")
+    named = shared.stored(shared_sets, "equal-sets")
+    rows = signed.select("id", "n_shingles", "set_lo", "set_hi").join(named.hint("merge"), ["set_lo", "set_hi", "n_shingles"], "left")
+    members = shared.stored(rows.select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")), "members")
+    shared.discard(named)
+    return members
+
+
+def bucketed(signed: DataFrame, members: DataFrame) -> DataFrame:
+    """key, id, centre and shared: the classes of every bucket of two or more, with the centre of the bucket.
+
+    The centre is the class that shares most keys in all: the likely origin of its near copies. Counts and
+    centres are aggregations combined on the map side and joined back from tables, which splits a hot bucket.
+    """
+    copies = members.where("id <> class_id").select("id").distinct()
+    classes = signed.where("n_shingles > 0 and id is not null").select("id", "bands").join(copies.hint("merge"), "id", "left_anti")
+    keys = classes.select("id", F.explode("bands").alias("key"))
+    counts = shared.stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key-counts")
+    shares = shared.stored(keys.join(counts.hint("merge"), "key"), "key-shares")
+    known = shares.groupBy("id").agg(F.sum("n").alias("shared"))
+    ranked = shared.stored(shares.select("key", "id").join(known, "id"), "key-ranks")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("shared", (-F.col("id")).alias("minus"))).alias("top"))
+    centres = shared.stored(centres.select("key", (-F.col("top.minus")).alias("centre"), F.col("top.shared").alias("shared")), "centres")
+    buckets = shared.stored(ranked.select("key", "id").join(centres.hint("merge"), "key"), "buckets", free=True)
+    shared.discard(counts, shares, ranked, centres)
+    return buckets
+
+
 def near_duplicates(docs: DataFrame, words_a_shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id and ``kept`` of every row of ``docs``."""
     signed = shared.stored(signatures(docs, words_a_shingle, bands, rows), "signatures")
-    real = signed.where("n_shingles > 0 and id is not null")
-    # One class for each set of shingles.
-    named = real.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("id").alias("class_id"))
-    members = shared.stored(signed.select("id", "n_shingles", "set_lo", "set_hi").join(named, ["set_lo", "set_hi", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")), "members")
-    bucket = Window.partitionBy("key")
-    classes = real.join(members.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
-    keys = classes.select("id", F.explode("bands").alias("key"))
-    shares = shared.stored(keys.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "buckets")
-    # The centre of a bucket is the class that shares most keys in all: the likely origin of its near copies.
-    known = shares.groupBy("id").agg(F.sum("n").alias("shared"))
-    centre = F.max(F.struct(F.col("shared"), (-F.col("id")).alias("minus"))).over(bucket)
-    centred = shares.join(known, "id").withColumn("top", centre).select("key", "id", (-F.col("top.minus")).alias("centre"), F.col("top.shared").alias("shared"))
-    buckets = shared.stored(centred, "buckets", free=True)
+    members = classes_of(signed)  # one class for each set of shingles
+    buckets = bucketed(signed, members)
+    shared.discard(signed)
     near = buckets.where(F.col("centre") != F.col("id")).select("id", "centre", "shared").distinct()
     best = near.groupBy("id").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("best"))
     ordered = near.join(best, "id").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"), (F.col("centre") == F.col("best")).alias("first"))
-    pairs = shared.stored(ordered.groupBy("a", "b").agg(F.bool_or("first").alias("first")), "pairs", free=True)
+    pairs = shared.stored(ordered.groupBy("a", "b").agg(F.bool_or("first").alias("first")), "pairs")
     known = shingle_sets(pairs, docs, words_a_shingle, bands, rows)
     same = members.where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
     # First every class with the best of its centres, then with the others as far as they are apart still.
     links = shared.stored(verified(pairs.where("first").select("a", "b"), known, bands, rows, percent), "links", free=True).unionByName(same)
     groups = components(links)
     apart = between(pairs.where("not first").select("a", "b"), groups)
-    links = links.unionByName(shared.stored(verified(apart, known, bands, rows, percent), "links", free=True))
+    links = links.unionByName(shared.stored(verified(apart, known, bands, rows, percent), "links"))
     groups = components(links)
-    rest = shared.stored(across(buckets, groups, known, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-across", free=True)
+    rest = across(buckets, groups, known, percent, pairs)
+    shared.discard(buckets, pairs)
     more = shared.stored(verified(rest, known, bands, rows, percent), "links")
+    shared.discard(known, rest)
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     out = members.join(groups, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
@@ -274,6 +302,15 @@ def near_duplicates(docs: DataFrame, words_a_shingle: int = 5, percent: int = 80
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of ``docs`` that are the least of their component, all columns as they came."""
+    """One row of each component of ``docs``, all columns as they came: of the rows with its least doc_id, that of least text.
+
+    Rows without a doc_id or without words all stay.
+    """
     gone = near_duplicates(docs, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    once = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
+    # Rows that share a doc_id are rare: only they are sorted.
+    again = once.groupBy(F.col("doc_id").alias("__again_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and __again_id is not null").select("__again_id")
+    again = shared.stored(again, "repeated-ids")
+    same = F.col("doc_id") == F.col("__again_id")
+    first = once.join(again, same, "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1").drop("__nth")
+    return once.join(again, same, "left_anti").unionByName(first)

@@ -7,11 +7,11 @@ import re
 import tempfile
 import time
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +55,16 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
             gc.collect()
             spark.sparkContext._jvm.System.gc()
             time.sleep(0.5)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` made; nothing that is still to be computed may read them."""
+    for table in tables:
+        k = _made.index(table.stored_at)
+        drop(table.sparkSession, k, k + 1)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -107,8 +116,7 @@ class WordHashes(dict):
 
 
 def hash64(word: str) -> int:
-    b = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(b) << 32 | zlib.crc32(b, 0x9E3779B9)
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 SPACES = re.compile(r"[ \t-\r]+")

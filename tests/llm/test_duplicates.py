@@ -38,6 +38,31 @@ def test_large_group_of_copies(spark):
     assert got == brute.components(rows, 2, 80)
 
 
+def test_words_of_equal_checksums_are_not_linked(spark):
+    """Two words that any pair of CRC-32s with different start values takes for one."""
+    rows = [(1, "uejgtcuo"), (2, "iiwucoup"), (3, "x uejgtcuo y"), (4, "x iiwucoup y"), (5, "x iiwucoup y")]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (3, 2), 4: (4, 2), 5: (4, 2)}
+
+
+def test_links_at_the_limit(spark):
+    """Pairs just at, above and below 80 percent, of sizes up to a thousand shingles."""
+    rows = []
+    for k, n in enumerate((4, 8, 40, 400, 996)):
+        base = [f"b{k}x{i}" for i in range(n + 1)]
+        for extra in (n // 4 - 1, n // 4, n // 4 + 1):  # n of n + extra shingles in common
+            rows.append((len(rows), " ".join([*base, *(f"e{k}x{extra}x{i}" for i in range(extra))])))
+        rows.append((len(rows), " ".join(base)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame, 2).collect()} == brute.components(rows, 2, 80)
+
+
+def test_one_row_of_equal_rows_stays(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "other words"), (3, "entirely new text"), (None, "q r s"), (None, "q r s"), (4, None), (4, None)]
+    out = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), words_a_shingle=2).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, "a b c d e f"), (3, "entirely new text"), (None, "q r s"), (None, "q r s"), (4, None)], key=str)
+
+
 def test_registers_estimate_similarity():
     a, b = near_duplicates.multipliers(288)
     x = near_duplicates.shingle_set(" ".join(f"a{i}" for i in range(900)), 2)
