@@ -15,7 +15,6 @@ table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm import shared, tokens
-from sensorloom.llm.token_store import ROWS_A_BATCH, list_of_ids
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, shard int, local_rank long, ids array<int>"
 
@@ -41,19 +39,26 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, seen, end = tokens.encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.uint32(end_id).tobytes()
-        for whole in batches:
-            for k in range(0, whole.num_rows, ROWS_A_BATCH):
-                batch = whole.slice(k, ROWS_A_BATCH)
-                doc, piece, start, rank, blobs = [], [], [], [], []
-                for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    raw = enc.encode(text) + end
-                    for n, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        blob = raw[at : at + 4 * capacity]
-                        doc.append(d), piece.append(n), start.append(at // 4), blobs.append(blob), rank.append(int(seen[len(blob) // 4]))
-                        seen[len(blob) // 4] += 1
-                columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(b) // 4 for b in blobs], pa.int32()), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array([shard] * len(doc), pa.int32()), pa.array(rank, pa.int64()), list_of_ids(blobs)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        enc, shard, seen = tokens.encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in tokens.slices(batches):
+            ids, ends = enc.encode_batch(batch.column("text"), end_id)
+            size = np.diff(ends)  # at least 1: the end id
+            n = -(-size // capacity)
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(capacity, size[doc] - start)
+            order = np.argsort(length, kind="stable")
+            known, first, count = np.unique(length[order], return_index=True, return_counts=True)
+            rank = np.empty(len(doc), np.int64)
+            rank[order] = np.arange(len(doc)) - np.repeat(first, count) + seen[length[order]]
+            seen[known] += count
+            bounds = np.r_[0, np.cumsum(length)]
+            columns = [
+                batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)),
+                pa.array(tokens.checksums(ids, bounds)), pa.array(np.full(len(doc), shard, np.int32)), pa.array(rank), tokens.list_of(ids, bounds),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long"), shared.text_or_empty().alias("text"))
     return shared.stored(rows.mapInArrow(cut, PIECES), "pieces")

@@ -16,7 +16,6 @@ are ignored unless named as metadata.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,9 +27,6 @@ from pyspark.sql import types as T
 
 from sensorloom.llm import shared, tokens
 
-ROWS_A_BATCH = 256
-
-
 def writer_options(row_group_mb: int = 64, page_kb: int = 256, page_rows: int = 1000) -> dict[str, str]:
     """Parquet settings of the store: version 2 pages (delta encodings), row-group and page sizes."""
     return {
@@ -45,11 +41,6 @@ def writer_options(row_group_mb: int = 64, page_kb: int = 256, page_rows: int =
     }
 
 
-def list_of_ids(blobs: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, blobs)]) // 4
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
-
-
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, metadata: Sequence[str] = (), **sizes: int) -> None:
     """Tokenise every whole text and write the store to ``path``.
 
@@ -65,15 +56,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, met
     ])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, at, end = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0, np.uint32(end_id).tobytes()
-        for whole in batches:
-            for k in range(0, whole.num_rows, ROWS_A_BATCH):
-                batch = whole.slice(k, ROWS_A_BATCH)
-                blobs = [enc.encode(x) + end for x in batch.column("text").to_pylist()]
-                n = np.array([len(b) // 4 for b in blobs], np.int64)
-                starts, at = at + np.cumsum(n) - n, at + int(n.sum())
-                columns = [batch.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(starts), pa.array(n.astype(np.int32)), *(batch.column(f.name) for f in meta), list_of_ids(blobs)]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+        enc, shard, at = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        for batch in tokens.slices(batches):
+            ids, ends = enc.encode_batch(batch.column("text"), end_id)
+            n = np.diff(ends)
+            columns = [batch.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(at + ends[:-1]), pa.array(n.astype(np.int32)), *(batch.column(f.name) for f in meta), tokens.list_of(ids, ends)]
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     rows.mapInArrow(encode, schema).write.options(**writer_options(**sizes)).parquet(path)
 
@@ -99,8 +88,7 @@ def id_checksums(rows: DataFrame, *keep: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            data, cuts = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B"), ids.offsets.to_numpy() * 4
-            crc = [zlib.crc32(data[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], schema.names)
+            crc = tokens.checksums(ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc)], schema.names)
 
     return rows.mapInArrow(digest, schema)

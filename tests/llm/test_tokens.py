@@ -1,4 +1,8 @@
+import json
+import random
+
 import brute
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,11 +19,32 @@ def test_encoder_equals_library(path):
     @settings(max_examples=150, deadline=None)
     @given(st.one_of(st.text(max_size=60), st.text(alphabet="ab 'sS0é\n\t.,#ſĳÀ", max_size=40)))
     def check(text):
-        assert enc.encode(text) == enc._by_library([text])[0]
+        assert enc.encode(text) == enc.by_library([text])[0]
 
     check()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_batches_equal_library(path, texts):
+    """Texts of all kinds in one batch, with pieces that must not cross from one text to the next."""
+    rng = random.Random(4)
+    enc, more = tokens.Encoder(path), ["ab 'sSlLrevVdmMtT0é\n,#ĳÀ", "a' \n", "ab 'st\t\n.,日"]
+    rows = [t or "" for t in texts] + ["".join(rng.choice(a) for _ in range(rng.randrange(14))) for a in more for _ in range(3000)]
+    ids, ends = enc.encode_batch(pa.array(rows), 7)
+    assert [ids[i:j].tolist() for i, j in zip(ends[:-1], ends[1:])] == [[*x, 7] for x in enc.by_library(rows)]
+    some = pa.array(["x", *rows]).slice(1, 40)  # a part of a longer array
+    assert enc.encode_batch(some)[0].tolist() == [i for x in enc.by_library(rows[:40]) for i in x]
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    settings = json.load(open(BYTE, encoding="utf-8"))
+    settings["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, settings["pre_tokenizer"]]}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings))
+    enc = tokens.Encoder(str(path))
+    assert not enc.known and enc.encode("in 1984 and 2001") == enc.by_library(["in 1984 and 2001"])[0] != tokens.encoder(BYTE).encode("in 1984 and 2001")
+
+
 def test_store(spark, odd, none, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(odd, path, BYTE, metadata=["lang"])
