@@ -2,8 +2,9 @@
 
 1. Documents become pieces: their ids and an end id; only longer ones are cut, at the sequence length.
 2. The histogram of piece lengths (at most ``capacity`` rows) is the only thing that the driver sees.
-3. Patterns of two to four lengths that fill a sequence exactly, or nearly, are enumerated from it;
-   non-negative least squares fits how often each is used; counts are rounded down.
+3. Patterns of two to four lengths that fill a sequence exactly are enumerated from it; non-negative least
+   squares fits how often each is used; counts are rounded, as far as the lengths last. What is left is
+   enumerated and fitted again, until the fit places nothing more.
 4. What is left of the histogram is packed by best fit over lengths, largest first: each step uses one
    filling as often as its rarest length lasts, so the steps are bounded by the number of lengths.
 5. The plan is a bounded list of runs "the pieces of length L with ranks [a, b) go to these sequences".
@@ -64,29 +65,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     return shared.stored(rows.mapInArrow(cut, PIECES), "pieces")
 
 
-def patterns(lengths: np.ndarray, capacity: int, most: int) -> tuple[list[tuple[int, ...]], int]:
-    """Fillings of two to four of the given lengths, the fullest kept first; at most ``most`` of each size."""
+def patterns(lengths: np.ndarray, capacity: int, most: int) -> list[tuple[int, ...]]:
+    """Fillings of two to four of the given lengths with nothing to spare; at most ``most`` of each size, evenly chosen.
+
+    Three and four lengths: any one, one of up to 96 that are spread over all (twice for four), and what is missing.
+    """
     have = np.zeros(capacity + 1, bool)
     have[lengths] = True
-    # The largest length present that is not above each bound.
-    fit = np.maximum.accumulate(np.where(have, np.arange(capacity + 1), 0))
-    found: set[tuple[int, ...]] = set()
-    for a in lengths[::-1].tolist():
-        b = int(fit[capacity - a]) if a < capacity else 0
-        if b:
-            found.add(tuple(sorted((a, b), reverse=True)))
-    spread = lengths[np.unique(np.linspace(0, len(lengths) - 1, min(len(lengths), 96)).astype(int))].tolist() if len(lengths) else []
-    for size in (3, 4):
-        new: set[tuple[int, ...]] = set()
-        for a in lengths[::-1].tolist():
-            for b in spread:
-                head = (a, b) if size == 3 else (a, b, b)
-                left = capacity - sum(head)
-                if left > 0 and fit[left]:
-                    new.add(tuple(sorted((*head, int(fit[left])), reverse=True)))
-        found |= set(sorted(new, key=lambda p: (capacity - sum(p), p))[:most])
-    kept = sorted(found, key=lambda p: (capacity - sum(p), len(p), p))
-    return kept, len(kept)
+    spread = lengths[np.unique(np.linspace(0, len(lengths) - 1, min(len(lengths), 96)).astype(int))] if len(lengths) else lengths
+    one, two = (x.ravel() for x in np.meshgrid(lengths, spread))
+    out: list[tuple[int, ...]] = []
+    for heads in ([lengths], [one, two], [one, two, two]):
+        rest = capacity - sum(heads)
+        fits = rest > 0
+        fits[fits] = have[rest[fits]]
+        rows = np.unique(-np.sort(-np.stack([*heads, rest], axis=1)[fits], axis=1), axis=0)
+        if len(rows) > most:
+            rows = rows[np.linspace(0, len(rows) - 1, most).astype(int)]
+        out += map(tuple, rows.tolist())
+    return out
 
 
 def fit_counts(fillings: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -103,22 +100,27 @@ def fit_counts(fillings: list[tuple[int, ...]], counts: np.ndarray, rounds: int
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int, most_patterns: int = 4000) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int, most_patterns: int = 4000, rounds: int = 12) -> list[tuple[tuple[int, ...], int]]:
     """(filling, how often) over the whole histogram; bounded by the patterns and the lengths, not by the data."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     out = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
     counts[capacity] = 0
-    fillings, _ = patterns(np.flatnonzero(counts), capacity, most_patterns)
-    # Only exact fillings are taken from the fit: anything looser is left to best fit, which sees all that is left.
-    fillings = [p for p in fillings if sum(p) == capacity]
-    for filling, x in zip(fillings, fit_counts(fillings, counts), strict=True):
-        used, times = np.unique(filling, return_counts=True)
-        n = int(min(np.floor(x), (counts[used] // times).min()))
-        if n > 0:
-            out.append((filling, n))
-            counts[used] -= n * times
+    fitted_sequences = 0
+    for _ in range(rounds):
+        fillings, placed = patterns(np.flatnonzero(counts), capacity, most_patterns), 0
+        fitted = fit_counts(fillings, counts)
+        for k in np.argsort(-fitted, kind="stable").tolist():
+            used, times = np.unique(fillings[k], return_counts=True)
+            n = int(min(np.rint(fitted[k]), (counts[used] // times).min()))
+            if n > 0:
+                out.append((fillings[k], n))
+                counts[used] -= n * times
+                placed += n
+        fitted_sequences += placed
+        if placed < 0.01 * fitted_sequences:
+            break
     while (left := np.flatnonzero(counts)).size:
         room, filling, spare = capacity, [], counts.copy()
         while room and (i := int(np.searchsorted(left, room, "right")) - 1) >= 0:
