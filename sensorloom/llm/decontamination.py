@@ -6,8 +6,8 @@
    ``rank + OVERSAMPLE`` columns; the driver, which holds BUCKETS x rank numbers whatever the input, gets the
    right singular vectors from that (Nystroem).
 3. Passages, now overlapping by half, and benchmark items are mapped to the latent space (whitened by the
-   singular values); pairs with a cosine of at least ``min_cosine`` are candidates. All passages of all
-   documents are searched, against the benchmark in blocks of ``block_items``.
+   singular values); pairs with a cosine of at least ``min_cosine`` are candidates. All documents that hold enough
+   answer terms (see 4) of an item anywhere are searched whole, against the benchmark in blocks of ``block_items``.
    No item is lost by its cosine: a document that holds enough of an item's answer terms, but got no hit from
    these candidates, has every passage tried around which enough of the item's words stand.
 4. A candidate counts if the longest common subsequence of the item and the words around the passage has at
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm import shared
 
-PASSAGE, BUCKETS, OVERSAMPLE = 32, 1 << 14, 6
+PASSAGE, BUCKETS, OVERSAMPLE = 32, 1 << 14, 8
 ANSWER_TERMS = 6
 STEP = PASSAGE // 2
 #: Words whose rows are handled at once: bounds the memory of a task.
@@ -108,17 +108,16 @@ def sketch(words: DataFrame, idf: np.ndarray, columns: int) -> np.ndarray:
     weight = np.r_[idf, 0].astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS + 1, columns), np.float32)
+        total = np.zeros((columns, BUCKETS + 1))
         weighted = w * weight[:, None]
         for rows in blocks(batches):
             scale = 1 / np.maximum((weight[rows] ** 2).sum(axis=1), 1e-12)
-            image = (weighted[rows].sum(axis=1) * scale[:, None]).astype(np.float32)
-            flat = rows.ravel()
-            order = np.argsort(flat, kind="stable")
-            at = flat[order]
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            sums = np.add.reduceat(image[order // PASSAGE], first, axis=0)
-            total[at[first]] += sums
+            image = weighted[rows].sum(axis=1) * scale[:, None]
+            flat = rows.ravel()  # -1, the filling of last passages, is the last bucket, which has no weight
+            flat = np.where(flat < 0, BUCKETS, flat)
+            for k in range(columns):
+                total[k] += np.bincount(flat, np.repeat(image[:, k], PASSAGE), BUCKETS + 1)
+        total = total.T.astype(np.float32)
         total *= weight[:, None]
         used = np.flatnonzero(total[:-1].any(axis=1))
         flat = pa.array(total[used].ravel())
@@ -161,19 +160,23 @@ def common_subsequence(item: dict[int, int], size: int, words: list[int]) -> int
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 32, min_cosine: float = 0.3, min_lcs: float = 0.65, min_answer: float = 0.5, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, rank: int = 40, min_cosine: float = 0.3, min_lcs: float = 0.65, min_answer: float = 0.5, block_items: int = 20_000
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item's words) and answer (share of its answer terms)."""
     spark = docs.sparkSession
     words = shared.stored(with_words(docs, "doc_id"), "words")
     idf, to_latent = latent_space(words, rank)
-    items = shared.stored(with_words(benchmark, "item_id").where(F.length("words") > 0).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-benchmark.count() // block_items))))), "items")
+    n_blocks = max(1, -(-benchmark.count() // block_items))
+    items = with_words(benchmark, "item_id").where(F.length("words") > 0)
+    items = shared.stored(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))), "items")
     doc_kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((words, "doc_id"), (items, "item_id")))
     out = spark.createDataFrame([], f"doc_id {doc_kind}, item_id {item_kind}, cosine double, lcs double, answer double")
-    for (block,) in items.select("block").distinct().collect():
+    for block in range(n_blocks):  # one block of the benchmark at a time is on the driver and in the tasks
         found = items.where(F.col("block") == block).select("item_id", "words").toArrow()
         names, raw = found["item_id"].to_pylist(), [np.frombuffer(x, np.uint32) for x in found["words"].to_pylist()]
-        out = out.unionByName(searched(words, names, raw, idf, to_latent, (min_cosine, min_lcs, min_answer), out.schema))
+        if names:
+            hits = searched(words, names, raw, idf, to_latent, (min_cosine, min_lcs, min_answer), out.schema)
+            out = out.unionByName(shared.stored(hits, "hits") if n_blocks > 1 else hits)
     return out
 
 
@@ -207,12 +210,30 @@ def searched(words: DataFrame, names: list, raw: list[np.ndarray], idf: np.ndarr
         cells = pairs // len(terms) * len(needed) + owner[pairs % len(terms)]
         return np.bincount(cells, minlength=docs * len(needed)).reshape(docs, -1) >= needed
 
+    def verify(near: np.ndarray, i: int, cosine: float) -> tuple[float, float, float] | None:
+        """(lcs, answer, cosine) of an item and the words around a passage, if they are enough."""
+        answer = float(np.isin(rarest[i], near).mean())
+        if answer < min_answer:
+            return None
+        if i not in places:
+            places[i] = {}
+            for k, x in enumerate(raw[i].tolist()):
+                places[i][x] = places[i].get(x, 0) | 1 << k
+        lcs = common_subsequence(places[i], len(raw[i]), near.tolist()) / len(raw[i])
+        return (lcs, answer, cosine) if lcs >= min_lcs else None
+
     def search(texts: list[np.ndarray]) -> Iterator[tuple[int, int, tuple]]:
         """(document, item, (lcs, answer, cosine)) of a block of documents, the best passage of each."""
         sizes = np.array([len(w) for w in texts])
         doc = np.repeat(np.arange(len(texts)), sizes)
         words = np.concatenate(texts)
         possible = answered(words, doc, len(texts))
+        # Documents without the answer terms of any item are no candidates: their passages are not mapped.
+        (some,) = np.nonzero(possible.any(axis=1))
+        if not len(some):
+            return
+        numbers, texts, possible, sizes = some, [texts[k] for k in some], possible[some], sizes[some]
+        words = np.concatenate(texts)
         # Half passages are summed once; a passage is two neighbours of one document.
         counts = -(-sizes // STEP)
         begin = np.cumsum(sizes) - sizes
@@ -222,42 +243,33 @@ def searched(words: DataFrame, names: list, raw: list[np.ndarray], idf: np.ndarr
         last = np.r_[owner_of_half[1:] != owner_of_half[:-1], True]
         full = halves.copy()
         full[:-1][~last[:-1]] += halves[1:][~last[:-1]]
-        use = np.flatnonzero((~last | (nth == 0)) & possible.any(axis=1)[owner_of_half])
-        best: dict[tuple[int, int], tuple] = {}
-        cosines = unit(full[use]) @ vectors
-
-        def verify(p: int, d: int, i: int) -> None:
-            item = raw[i]
-            if (d, i) in best and best[d, i][0] >= 1.0:
-                return
-            at = int(nth[use[p]]) * STEP
-            near = texts[d][max(0, at - len(item)) : at + PASSAGE + len(item)]
-            answer = float(np.isin(rarest[i], near).mean())
-            if answer < min_answer or np.isin(item, near).mean() < min_lcs:
-                return
-            if i not in places:
-                places[i] = {}
-                for k, x in enumerate(item.tolist()):
-                    places[i][x] = places[i].get(x, 0) | 1 << k
-            found = (common_subsequence(places[i], len(item), near.tolist()) / len(item), answer, float(cosines[p, i]))
-            if found[0] >= min_lcs and ((d, i) not in best or found > best[d, i]):
-                best[d, i] = found
-
-        for p, i in zip(*np.nonzero((cosines >= min_cosine) & possible[owner_of_half[use]]), strict=True):
-            verify(p, int(owner_of_half[use[p]]), i)
-        # The rest exactly: the words around a passage that an item has bound their common subsequence.
+        use = np.flatnonzero(~last | (nth == 0))
+        passages = full[use]
         starts = np.searchsorted(owner_of_half[use], np.arange(len(texts) + 1))
+        best: dict[tuple[int, int], tuple] = {}
         for d, i in zip(*np.nonzero(possible), strict=True):
-            if (d, i) in best:
-                continue
-            passages = np.arange(starts[d], starts[d + 1])
-            at, size = nth[use[passages]] * STEP, len(raw[i])
+            mine, size = slice(int(starts[d]), int(starts[d + 1])), len(raw[i])
+            begin = nth[use[mine]] * STEP
+            low, high = np.maximum(begin - size, 0), np.minimum(begin + PASSAGE + size, len(texts[d]))
+            # How many words around a passage the item has bounds their common subsequence.
             sums = np.r_[0, np.cumsum(np.isin(texts[d], raw[i]))]
-            ends = np.minimum(at + PASSAGE + size, len(texts[d]))
-            for p in passages[sums[ends] - sums[np.maximum(at - size, 0)] >= min_lcs * size]:
-                verify(p, int(d), i)
+            enough = sums[high] - sums[low] >= min_lcs * size
+            if not enough.any():
+                continue
+            cosines = unit(passages[mine]) @ vectors[:, i]
+            found = None
+            # Candidates by cosine first; only where none of them holds the item, the others.
+            for tried in (enough & (cosines >= min_cosine), enough & (cosines < min_cosine)):
+                for k in np.flatnonzero(tried).tolist():
+                    hit = verify(texts[d][low[k] : high[k]], int(i), float(cosines[k]))
+                    found = max(found, hit) if found and hit else found or hit
+                    if found and found[0] >= 1.0:
+                        break
+                if found:
+                    best[int(d), int(i)] = found
+                    break
         for (d, i), found in sorted(best.items()):
-            yield d, int(i), found
+            yield int(numbers[d]), int(i), found
 
     places: dict[int, dict[int, int]] = {}
 
@@ -279,6 +291,10 @@ def searched(words: DataFrame, names: list, raw: list[np.ndarray], idf: np.ndarr
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents in which no benchmark item was found, all columns as they came."""
-    found = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("__found_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__found_id"), "left_anti")
+    """The documents in which no benchmark item was found, all columns as they came.
+
+    Rows are told apart by doc_id; those without one by their texts.
+    """
+    keyed = docs.select(shared.row_key().alias("doc_id"), "text")
+    found = contaminated(keyed, benchmark, **settings).select(F.col("doc_id").alias("__found_id")).distinct()
+    return docs.join(found, shared.row_key() == F.col("__found_id"), "left_anti")

@@ -79,6 +79,11 @@ def order_id(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def row_key(key: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart: the id as text, or without one the digest of the row's text."""
+    return F.when(F.col(key).isNull(), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))).otherwise(F.col(key).cast("string"))
+
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
