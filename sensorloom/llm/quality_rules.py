@@ -151,6 +151,10 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, co
 
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
-    """The documents that ``judge`` keeps, all columns as they came. Rows with equal doc_id share the strictest verdict."""
-    bad = judge(docs, **settings).where(~F.col("kept")).select(shared.order_id().alias("__bad_id")).distinct()
-    return docs.join(bad, shared.order_id() == F.col("__bad_id"), "left_anti")
+    """The documents that ``judge`` keeps, all columns as they came.
+
+    Rows with equal doc_id share the strictest verdict, and so do rows without one that have the same text.
+    """
+    keyed = docs.select(shared.row_key().alias("doc_id"), "text", "lang", "source")
+    bad = judge(keyed, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("__bad_id")).distinct()
+    return docs.join(bad, shared.row_key() == F.col("__bad_id"), "left_anti")
