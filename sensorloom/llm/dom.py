@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A comment's start, a declaration, or a tag. A quote opens a value only right behind an equals sign.
+TOKEN = re.compile(r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 BLOCK = frozenset(
@@ -18,6 +20,10 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 BOUNDS = frozenset("button td th table caption object".split())
 
 
+#: Elements that ``Node.holds`` tells of.
+ASKED = frozenset("a h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+
+
 class Node:
     __slots__ = ("attributes", "children", "kept", "parent", "tag", "text")
 
@@ -50,54 +56,98 @@ class Node:
     def plain(self) -> str:
         """All text below, white space as single spaces; kept for reuse."""
         if self.text is None:
-            parts: list[str] = []
-            todo: list[Node | str] = [self]
-            while todo:
-                x = todo.pop()
-                if isinstance(x, str):
-                    parts.append(x)
-                elif x.tag not in RAW:
-                    if x.tag in BLOCK or x.tag == "br":
-                        parts.append(" ")
-                    todo.extend(reversed(x.children))
-            self.text = " ".join("".join(parts).split())
+            # Boxes that hold one element and no text of their own share its text.
+            same, node = [self], self
+            while (inner := node.only_child()) is not None:
+                same.append(node := inner)
+            if (text := node.text) is None:
+                parts: list[str] = []
+                todo: list[Node | str] = [node]
+                while todo:
+                    x = todo.pop()
+                    if isinstance(x, str):
+                        parts.append(x)
+                    elif x.tag not in RAW:
+                        if x.tag in BLOCK or x.tag == "br":
+                            parts.append(" ")
+                        todo.extend(reversed(x.children))
+                text = " ".join("".join(parts).split())
+            for x in same:
+                x.text = text
         return self.text
 
+    def only_child(self) -> Node | None:
+        if self.tag in RAW or not self.children or len(self.children) > 3:
+            return None
+        elements = [c for c in self.children if not isinstance(c, str)]
+        if len(elements) != 1 or elements[0].tag in RAW or any(isinstance(c, str) and not c.isspace() for c in self.children):
+            return None
+        return elements[0]
+
+    def holds(self, tag: str) -> bool:
+        """Whether an element of this kind is below; worked out for the whole tree below at once."""
+        if (known := self.kept.get("holds")) is None:
+            for x in reversed([*self.walk()]):
+                below: set[str] = set()
+                for c in x.children:
+                    if isinstance(c, Node):
+                        if c.tag in ASKED:
+                            below.add(c.tag)
+                        below |= c.kept["holds"]
+                x.kept["holds"] = below
+            known = self.kept["holds"]
+        return tag in known
+
 
 def parse(html: str) -> Node:
     root = Node("#root", "", None)
     here, at, n = root, 0, len(html)
+    last = html.rfind(">") + 1  # no tag ends behind it
     lowered: str | None = None
-    for m in iter(lambda: TOKEN.search(html, at), None):
+    opened: Counter[str] = Counter()  # elements that are open, by name
+
+    def up_to(node: Node) -> Node:
+        """Closes what is open below ``node``."""
+        x = here
+        while x is not node:
+            opened[x.tag] -= 1
+            x = x.parent
+        return node
+
+    for m in iter(lambda: TOKEN.search(html, at, last), None):
         if m.start() > at:
             here.children.append(unescape(html[at : m.start()]))
         at = m.end()
         if m[2] is None:
+            if m[0] == "<!--":
+                end = html.find("-->", at)
+                at = n if end < 0 else end + 3
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if opened[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = up_to(node.parent)
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened["p"]:
             node = here
             while node is not root and node.tag not in BOUNDS and node.tag != "p":
                 node = node.parent
             if node.tag == "p":
-                here = node.parent
+                here = up_to(node.parent)
         if tag in ENDS:
             ends, bounds = ENDS[tag]
-            node, last = here, None
-            while node is not root and node.tag not in bounds:
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        if tag in ("html", "body") and any(x.tag == tag for x in root.walk()) and tag == "html":
+            if any(opened[x] for x in ends):
+                node, outer = here, None
+                while node is not root and node.tag not in bounds:
+                    if node.tag in ends:
+                        outer = node
+                    node = node.parent
+                if outer is not None:
+                    here = up_to(outer.parent)
+        if tag == "html" and opened["html"]:
             continue
         node = Node(tag, m[3] or "", here)
         here.children.append(node)
@@ -114,6 +164,7 @@ def parse(html: str) -> Node:
             at = n if end < 0 or close < 0 else close + 1
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             here = node
+            opened[tag] += 1
     if at < n:
         here.children.append(unescape(html[at:]))
     return root

@@ -146,6 +146,70 @@ def test_template_is_what_pages_share(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_that_say_something_else_are_kept():
+    text = wrappers.main_text('<article><div class="share-of-voice"><p>Para one.</p></div><p class="form">two</p><div class="comment-list"><p>no</p></div><div class="share">no</div></article>')
+    assert text == "Para one.\n\ntwo"
+
+
+@pytest.mark.parametrize("depth", [5, 405, 6000])
+def test_depth_changes_nothing(depth):
+    page = lambda x, n: "<div>" * depth + f"<article><p>{x}</p></article><div>menu words</div>" + "</div>" * depth
+    refs = [wrappers.body_of(parse(page(f"tale {n}", n))) for n in range(3)]
+    assert wrappers.main_text(page("story", 9), refs) == "story"
+    plain = lambda x: "<div>" * depth + f"<div><p>{x}</p></div><div>menu words</div>" + "</div>" * depth
+    assert wrappers.main_text(plain("story"), [wrappers.body_of(parse(plain(f"tale {n}"))) for n in range(3)]) == "story"
+
+
+def test_one_reference_of_another_layout_does_not_hide_the_template():
+    page = lambda n, tip="<div>Read our app</div>": f"<body><div><p>Story {n} is told.</p></div>{tip}<div>All rights kept</div></body>"
+    refs = [wrappers.body_of(parse(x)) for x in (page(1), page(2), page(3), page(5, "<section>Vote</section>"))]
+    assert wrappers.main_text(page(4), refs) == "Story 4 is told."
+
+
+def matched(x, y):
+    """Simple tree matching by its definition: most pairs of equal labels, in order, below paired parents."""
+    if wrappers.label(x) != wrappers.label(y):
+        return 0
+    a, b = ([c for c in n.elements()] for n in (x, y))
+    best = {(i, j): 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + matched(a[i], b[j]))
+    return 1 + best[len(a), len(b)]
+
+
+def test_tree_matching_equals_its_definition():
+    import random
+
+    rng = random.Random(8)
+
+    def tree(depth):
+        tag = rng.choice(["div", "ul", "section", "span"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(4) if depth else 0)) + f"</{tag}>"
+
+    for _ in range(150):
+        x, y = (parse("<body>" + tree(3) + tree(2) + "</body>").elements()[0] for _ in range(2))
+        m, pairs = wrappers.Matcher(), {}
+        m.align(x, y, pairs)
+        assert m.sizes[id(x), id(y)] == matched(x, y) == len(pairs)
+
+
+def test_quotes_in_tags():
+    assert parse("<p class=don't>hello</p><p>world isn't</p><p title='a > b'>end</p>").plain() == "hello world isn't end"
+    assert parse("<a b='never closed>x</a> y").plain() == "x y"
+    assert parse("<a '" * 50_000).plain().startswith("<a '")  # no time beyond the length
+    assert parse("<p>one</p><!-- left open <p>two</p>").plain() == "one"
+
+
+def test_pages_of_odd_rows(spark):
+    long = "<article>" + "<p>word &amp; word</p>" * 20_000 + "</article>"
+    rows = [(1, "http://h/1", "<p>a</p>", "host", "x"), (1, "http://h/1", "<p>a</p>", "host", "x"), (1, "http://h/2", "<p>b</p>", None, "x"), (None, "http://h/3", "<p>c</p>", "h", "x"), (2, None, "<p>d</p>", "h", "x"), (3, "http://h/4", long, "h", "x"), (None, None, None, None, None)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, refs string"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted(((r.page_id, r.url, r.text[:4], r.n_chars) for r in out.collect()), key=str)
+    assert got == sorted([(1, "http://h/1", "a", 1), (1, "http://h/1", "a", 1), (1, "http://h/2", "b", 1), (None, "http://h/3", "c", 1), (2, None, "d", 1), (3, "http://h/4", "word", 13 * 20_000 - 2), (None, None, "", 0)], key=str)
+
+
 def test_alignment_decides_inside_articles():
     page = lambda n, head="": f'<body><main class="m">{head}<h1>Title {n}</h1><div class="zq1">Read our app</div><p>Story {n} is told.</p><p>A shared sentence.</p><div class="k7"><p>Part {n} of it.</p><p>As ever.</p></div><ul class="v"><li><a href="/{n}">Other {n}</a></ul><div class="zq2"><p>Write to us</p></div></main></body>'
     bodies = [wrappers.body_of(parse(page(n))) for n in (1, 9)]
