@@ -4,23 +4,26 @@ Everything is DataFrame work. One pass over the texts gives a small table of sta
 base rule if it has fewer than ``min_words`` words or if more than ``max_repeat_percent`` of them lie in
 8-word windows that the text repeats. The rest are judged by a vector of transformed statistics:
 
-1. start: median and scaled median deviation of each statistic give a first distance per document;
-2. concentration steps: the ``coverage`` share of least distance gives a mean and covariance, those give new
-   distances, and so on. Covariances carry a variance floor, as most documents have no symbols at all;
+1. starts: median and scaled median deviation of each statistic, and plain mean and covariance, give first
+   distances per document;
+2. concentration steps from each: the ``coverage`` share of least distance gives a mean and covariance, those give
+   new distances, and so on until no determinant falls; of the two ends, a group takes that of less determinant.
+   Covariances carry a variance floor, as most documents have no symbols at all;
 3. the last distances are scaled so that their median is not above the chi-square median;
-4. a document is rejected if its squared distance exceeds ``cutoff``.
+4. a document is rejected if its squared distance exceeds the chi-square value of probability ``chance``.
 
-Estimates are one row per (language, source) with ``min_group`` documents that pass the base rule; smaller
-groups share their language's estimate, small languages that of all documents. If even those are fewer than
-``min_group``, nothing is rejected beyond the base rule. Quantiles are Spark's mergeable sketches and moments
-are sums, so a source with a third of all rows is combined on the map side like any other.
+Estimates are one row per (language, source) with ``min_group`` documents that pass the base rule (ten for each
+statistic); smaller groups share their language's estimate, small languages that of all documents. If even those
+are fewer than ``min_group``, nothing is rejected beyond the base rule. Quantiles are Spark's mergeable sketches and
+moments are sums, so a source with a third of all rows is combined on the map side like any other.
 
-Nulls: a null text has no words; null language and source are values of their own. Empty tables and repeated
-rows need no care; extra columns are ignored.
+Nulls: a null text has no words; null language and source are values of their own; a null doc_id is returned as
+it is. Repeated rows are judged each; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
@@ -87,66 +90,123 @@ def with_vector(stats: DataFrame, prior: int = 20) -> DataFrame:
     })
 
 
+#: Groups up to which their estimates are broadcast: some 300 bytes each. Beyond it they are joined by key.
+BROADCAST_GROUPS = 20_000
+
+
+def by_key(rows: DataFrame, estimates: DataFrame, key: str = "key") -> DataFrame:
+    """``rows`` with the estimates (a stored table, one row a group) of their group.
+
+    Estimates of few groups are broadcast. More are joined by sorting, where a large group can be split, as the
+    estimates come from a table.
+    """
+    small = estimates.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return rows.join(F.broadcast(estimates) if small else estimates.hint("merge"), key, "left")
+
+
 def with_group(rows: DataFrame, min_group: int) -> DataFrame:
-    """``key``: the smallest of (language, source), language or everything that has ``min_group`` usable rows; else null."""
-    fine, lang = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}), F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
-    rows = rows.withColumns({"k2": fine, "k1": lang, "k0": F.lit("all")})
-    usable = rows.where(~F.col("base_failed"))
-    for k in ("k2", "k1", "k0"):
-        counts = usable.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group).select(k, F.lit(True).alias("has_" + k))
-        rows = rows.join(counts, k, "left")
-    return rows.withColumn("key", F.expr("case when has_k2 then k2 when has_k1 then k1 when has_k0 then k0 end")).drop("k2", "k1", "k0", "has_k2", "has_k1", "has_k0")
+    """``key``: the smallest of (language, source), language or everything that has ``min_group`` usable rows; else null.
+
+    One aggregation by (language, source); the larger groups are sums over its few rows.
+    """
+    text = lambda *names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    rows = rows.withColumn("fine", text("lang", "source"))
+    sizes = rows.groupBy("fine", text("lang").alias("coarse")).agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
+    sizes = shared.stored(sizes, "group-sizes")
+    coarse = sizes.groupBy("coarse").agg(F.sum("n").alias("n_coarse"))
+    everything = sizes.agg(F.sum("n")).head()[0] or 0
+    keys = sizes.join(coarse, "coarse").select("fine", F.when(F.col("n") >= min_group, F.col("fine")).when(F.col("n_coarse") >= min_group, F.col("coarse")).when(F.lit(everything >= min_group), "all").alias("key"))
+    return by_key(rows, shared.stored(keys, "group-keys"), "fine").drop("fine")
 
 
 def squared(parts: list[Column]) -> Column:
     return reduce(add, [p * p for p in parts])
 
 
+def chi_square_quantile(above: float) -> float:
+    """The value that a chi-square variable of six degrees of freedom exceeds with probability ``above``."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        x = (low + high) / 4  # half the middle
+        low, high = (2 * x, high) if math.exp(-x) * (1 + x + x * x / 2) > above else (low, 2 * x)
+    return low
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    return rows.where("key is not null and not base_failed")
+
+
 def first_distance(rows: DataFrame) -> DataFrame:
-    """Distances by median and scaled median deviation of each statistic alone."""
-    used = rows.where("key is not null and not base_failed")
-    mid = used.groupBy("key").agg(*(F.percentile_approx(x, 0.5, 2000).alias("m_" + x) for x in NAMES))
-    off = used.join(mid, "key").groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col("m_" + x)), 0.5, 2000).alias("s_" + x) for x in NAMES))
+    """``d2``: distances by median and scaled median deviation of each statistic alone."""
+    used = usable(rows)
+    mid = shared.stored(used.groupBy("key").agg(*(F.percentile_approx(x, 0.5, 2000).alias("m_" + x) for x in NAMES)), "medians")
+    off = by_key(used, mid).groupBy("key").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col("m_" + x)), 0.5, 2000).alias("s_" + x) for x in NAMES))
     stats = shared.stored(mid.join(off, "key"), "mcd-start")
     parts = [(F.col(x) - F.col("m_" + x)) / F.greatest(F.col("s_" + x) * 1.4826, F.lit(FLOORS[x])) for x in NAMES]
-    return rows.join(stats, "key", "left").withColumn("d2", squared(parts)).select(*rows.columns, "d2")
+    return by_key(rows, stats).withColumn("d2", squared(parts)).select(*rows.columns, "d2")
 
 
 def distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distances: forward substitution through the Cholesky factor of the row's group."""
-    out = rows.join(factors, "key", "left")
+    """``d2``: squared Mahalanobis distances, by forward substitution through the Cholesky factor of the row's group."""
+    out = by_key(rows, factors)
     for i, x in enumerate(NAMES):
         known = reduce(add, [F.col(f"l_{i}_{j}") * F.col(f"y_{j}") for j in range(i)], F.lit(0.0))
         out = out.withColumn(f"y_{i}", (F.col(x) - F.col("m_" + x) - known) / F.col(f"l_{i}_{i}"))
     return out.withColumn("d2", squared([F.col(f"y_{i}") for i in range(len(NAMES))]) / F.col("scale")).select(*rows.columns, "d2")
 
 
-def factors(rows: DataFrame, near: DataFrame, coverage: float) -> DataFrame:
-    """Mean and Cholesky factor of each group's ``coverage`` share of least distance (``near``: rows with d2)."""
-    used = near.where("key is not null and not base_failed")
-    limit = used.groupBy("key").agg(F.percentile_approx("d2", coverage, 2000).alias("limit"))
-    half = used.join(limit, "key").where(F.col("d2") <= F.col("limit"))
+def factors(near: DataFrame, coverage: float) -> DataFrame:
+    """Mean, Cholesky factor and ``log_det`` of each group's ``coverage`` share of least distance (``near``: rows with d2)."""
+    used = usable(near)
+    if coverage < 1:
+        limit = shared.stored(used.groupBy("key").agg(F.percentile_approx("d2", coverage, 2000).alias("limit")), "mcd-limits")
+        used = by_key(used, limit).where(F.col("d2") <= F.col("limit"))
     pairs = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
-    out = half.groupBy("key").agg(*(F.avg(x).alias("m_" + x) for x in NAMES), *(F.covar_pop(NAMES[i], NAMES[j]).alias(f"c_{i}_{j}") for i, j in pairs))
+    out = used.groupBy("key").agg(*(F.avg(x).alias("m_" + x) for x in NAMES), *(F.covar_pop(NAMES[i], NAMES[j]).alias(f"c_{i}_{j}") for i, j in pairs))
     for i, j in pairs:
         known = reduce(add, [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.lit(0.0))
         rest = F.col(f"c_{i}_{j}") - known
         out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[NAMES[i]] ** 2) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return shared.stored(out.select("key", *("m_" + x for x in NAMES), *(f"l_{i}_{j}" for i, j in pairs), F.lit(1.0).alias("scale")), "mcd-factors")
+    log_det = reduce(add, [F.log(F.col(f"l_{i}_{i}")) for i in range(len(NAMES))]) * 2
+    return shared.stored(out.select("key", *("m_" + x for x in NAMES), *(f"l_{i}_{j}" for i, j in pairs), F.lit(1.0).alias("scale"), log_det.alias("log_det")), "mcd-factors")
 
 
-def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, coverage: float = 0.75, steps: int = 2, cutoff: float = 45.0, min_group: int = 200) -> DataFrame:
-    """doc_id, the base statistics, ``base_failed``, ``d2`` (null where not judged) and ``kept``; one row per document."""
+def least_determinant(rows: DataFrame, coverage: float, steps: int) -> DataFrame:
+    """The estimates of each group by concentration steps from two starts, those of less determinant.
+
+    Starts: distances by medians, and by plain mean and covariance of all rows. Steps are repeated until the
+    determinant of no group falls by more than a thousandth, at most ``steps`` times.
+    """
+    ends = []
+    for start in (first_distance(rows), distance(rows, factors(rows.withColumn("d2", F.lit(0.0)), 1.0))):
+        fitted = factors(start, coverage)
+        for _ in range(steps - 1):
+            new = factors(distance(rows, fitted), coverage)
+            falls = new.select("key", F.col("log_det").alias("now")).join(fitted.select("key", "log_det"), "key").where("now < log_det - 0.001")
+            fitted = new
+            if falls.isEmpty():
+                break
+        ends.append(fitted)
+    a, b = ends
+    other = b.select("key", F.struct(*(F.col(c) for c in b.columns if c != "key")).alias("b"))
+    both = a.select("key", F.struct(*(F.col(c) for c in a.columns if c != "key")).alias("a")).join(other, "key")
+    best = both.select("key", F.when(F.col("b.log_det") < F.col("a.log_det"), F.col("b")).otherwise(F.col("a")).alias("best"))
+    return shared.stored(best.select("key", "best.*"), "mcd-best")
+
+
+def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, coverage: float = 0.75, steps: int = 6, chance: float = 5e-8, min_group: int = 60) -> DataFrame:
+    """doc_id, the base statistics, ``base_failed``, ``d2`` (null where not judged) and ``kept``; one row per document.
+
+    ``chance``: how likely a document of a Gaussian group would be rejected; with 5e-8, one in twenty million.
+    """
     stats = with_vector(base_statistics(docs, "doc_id", "lang", "source"))
     stats = stats.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     rows = shared.stored(with_group(shared.stored(stats, "quality"), min_group), "quality-keys")
-    near = first_distance(rows)
-    for _ in range(steps):
-        fitted = factors(rows, near, coverage)
-        near = distance(rows, fitted)
-    middle = near.where("key is not null and not base_failed").groupBy("key").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 2000) / CHI2_MEDIAN).alias("scale"))
-    near = distance(rows, fitted.drop("scale").join(middle, "key"))
-    kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
+    fitted = least_determinant(rows, coverage, steps)
+    near = distance(rows, fitted)
+    middle = usable(near).groupBy("key").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 2000) / CHI2_MEDIAN).alias("scale"))
+    near = distance(rows, shared.stored(fitted.drop("scale").join(middle, "key"), "mcd-scaled"))
+    kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= chi_square_quantile(chance)))
     return near.withColumn("kept", kept)
 
 
