@@ -241,6 +241,49 @@ def test_quotations(spark):
     assert quotations.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_a_short_line_alone_proves_nothing(spark):
+    rows = [(1, 0, "yes"), (1, 1, "Something longer was written here today."), (1, 2, "> something nobody wrote here\n> yes\nWho said that?"), (1, 3, "> yes\nGood.")]
+    got = {r.turn: r.parent_turn for r in quotations.link_quotations(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 0}
+
+
+def test_replies_stand_below_what_they_answer(spark):
+    """Random reply trees with whole quotations: parents, roots, depths and places against a direct walk."""
+    import random
+
+    rng, rows, want = random.Random(6), [], {}
+    for conv in range(6):
+        parent, texts = {}, {}
+        for turn in range(14):
+            up = rng.randrange(turn) if turn and rng.random() < 0.8 else None
+            texts[turn] = f"message {conv} {turn} says number {rng.random()}"
+            parent[turn] = up
+            rows.append((conv, turn, "u", texts[turn] if up is None else f"> {texts[up]}\n{texts[turn]}", 1))
+        order = []
+
+        def walk(turn):
+            order.append(turn)
+            for t in range(14):
+                if parent[t] == turn:
+                    walk(t)
+
+        for t in range(14):
+            if parent[t] is None:
+                walk(t)
+        depth = lambda t: 0 if parent[t] is None else 1 + depth(parent[t])  # noqa: B023, E731
+        want |= {(conv, t): (parent[t], depth(t)) for t in range(14)}
+        for root in [t for t in range(14) if parent[t] is None]:
+            mine = [t for t in order if t == root or order.index(t) > order.index(root)]
+            size = next((k for k, t in enumerate(mine[1:], 1) if parent[t] is None), len(mine))
+            want |= {("place", conv, t): order.index(t) for t in mine[:size]}
+    long = "word " * 20_000
+    rows += [(9, 0, "u", long, 1), (9, 1, "u", "> " + long.strip() + "\nshort", 1)]
+    got = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int")).collect()
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.depth) for r in got if r.conv_id < 9} == {k: v for k, v in want.items() if len(k) == 2}
+    assert {("place", r.conv_id, r.turn): r.position for r in got if r.conv_id < 9} == {k: v for k, v in want.items() if len(k) == 3}
+    assert {(r.turn, r.parent_turn, r.position) for r in got if r.conv_id == 9} == {(0, None, 0), (1, 0, 1)}
+
+
 def test_quotations_wrapped_anew(spark):
     three = "The first paragraph says a few words\nover two lines of text.\n\nThe second paragraph speaks of rivers and of bridges in the north.\n\nThe third one ends the letter with greetings to everybody at home."
     wrapped = "> the first paragraph says\n> a few words over two\n> lines of text.\n>\n> The second paragraph speaks of rivers\n> and of bridges in\n> the north.\nI agree."
