@@ -54,6 +54,25 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_classifier_on_hosts_it_has_not_seen(spark):
+    """Held out: every fifth name of the labelled table, with all its URLs."""
+    pairs = url_filter.labelled()
+    names = sorted({u.split("://")[1].split(".example")[0].split(".")[-1] for u, _ in pairs})
+    kept = set(names[::5])
+    out = [(u, y) for u, y in pairs if u.split("://")[1].split(".example")[0].split(".")[-1] in kept]
+    model = url_filter.train(spark, [p for p in pairs if p not in out])
+    got = {r.page_id: r.score >= 0.5 for r in url_filter.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(out)], "page_id long, url string"), model).collect()}
+    blocked = {label: [got[i] for i, (_, y) in enumerate(out) if y == label] for label in (0, 1)}
+    assert not any(blocked[0])  # of 24
+    assert sum(blocked[1]) >= 5  # of 30: few names share their n-grams with others of so small a table
+
+
+def test_repeated_and_long_urls(spark):
+    rows = [(1, "http://h.example.com/" + "a/" * 20_000), (1, "http://h.example.com/x"), (1, "http://h.example.com/x"), (None, None)]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(out) == 4 and max(len(r.path) for r in out) == 40_001 and all(r.verdict in ("allow", "block") for r in out)
+
+
 def test_classifier(spark, odd, none):
     docs = [(i, ("good calm words here " if i % 2 else "BUY!! ### now $$$ ") * 5 + f"n{i}", 80) for i in range(240)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
