@@ -1,57 +1,204 @@
-"""Fusion of two to four datasets: rates, grid, exact-time resampling, interpolation, mean, quality score."""
+"""Fusion of two to four datasets per participant: rates, offsets, grid, resampling, mean, drift, score, report.
+
+Plans over the long layout keyed by (participant, dataset); a participant is a partition key, not a loop. Frames that
+several steps read are checkpointed. What reaches the driver is one report row per participant, if it is asked for.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sensorloom import registry
-from sensorloom.functions.columns import seconds
-from sensorloom.operators import rates, resample
+from sensorloom.lineage import cut
+from sensorloom.functions.columns import confidence, magnitude, seconds
+from sensorloom.operators import alignment, rates, resample, scoring
 from sensorloom.registry import HarmonizeError
 
+STREAM = ["participant_id", "dataset_id"]
+KEY = ["participant_id"]
+
 
 @dataclass
 class Fusion:
+    """``fused``: participant_id, ts, channels. ``report``: a row per participant. ``trend``: lags of sliding windows."""
+
     fused: DataFrame
-    rates: dict[str, float]
-    master_rate: float
-    missingness: float
-    coverage: float
-    warnings: list[str]
+    report: DataFrame
+    trend: DataFrame
+    resampled: DataFrame
+    _first: Row | None = None
 
+    @property
+    def first(self) -> Row:
+        """The report of the least participant."""
+        if self._first is None:
+            self._first = self.report.orderBy("participant_id").limit(1).head()
+        return self._first
 
-def fuse(slots: list[DataFrame]) -> Fusion:
-    """``slots``: frames with participant_id, dataset_id, ts and channels, one per dataset, the base first."""
-    if not 2 <= len(slots) <= 4:
-        raise HarmonizeError("invalid_dataset_count", f"{len(slots)} datasets, 2 to 4 can be fused")
+    @property
+    def rates(self) -> dict[str, float]:
+        return {d.dataset_id: d.sampling_rate_hz for d in self.first.datasets}
+
+    @property
+    def master_rate(self) -> float:
+        return self.first.master_rate_hz
+
+    @property
+    def missingness(self) -> float:
+        return round(self.first.missingness, 6)
+
+    @property
+    def coverage(self) -> float:
+        return round(self.first.coverage, 6)
+
+    @property
+    def score(self) -> float:
+        return self.first.hqscore
+
+    @property
+    def warnings(self) -> list[str]:
+        return list(self.first.warnings)
+
+
+def matched(slots: list[DataFrame]) -> DataFrame:
+    """All slots as one frame, with the participants that are in two slots or more.
+
+    If no participant is in two slots, all are one, ``global``: of its rows with equal times, the first known values.
+    """
     frame = slots[0]
     for other in slots[1:]:
         frame = frame.unionByName(other, allowMissingColumns=True)
-    keys, channels = ["participant_id"], [c for c in frame.columns if c in registry.CHANNELS]
-    stream = [*keys, "dataset_id"]
-    found = rates.sampling_rate(frame, ["dataset_id"]).collect()  # one row per dataset
-    known = {r.dataset_id: r.rate_hz for r in found}
-    master = min([r for r in known.values() if r > 0], default=10.0)
-    step = int(1000 / master)
-    spans = rates.durations(frame, stream).groupBy(*keys).agg(F.max("start_ts").alias("overlap_start"), F.min("end_ts").alias("overlap_end"), F.count(F.lit(1)).alias("n"))
-    spans = spans.where((F.col("n") > 1) & (seconds(F.col("overlap_start")) <= seconds(F.col("overlap_end"))))
+    shared = frame.select(*STREAM).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY)
+    if not shared.isEmpty():
+        return frame.join(shared, KEY, "left_semi")
+    channels = [c for c in frame.columns if c in registry.CHANNELS]
+    return resample.first_known(frame, ["dataset_id", "ts"], channels, ["participant_id"]).withColumn("participant_id", F.lit("global"))
+
+
+def rates_of(frame: DataFrame, target_rate: float | None) -> tuple[DataFrame, DataFrame]:
+    """Rates by stream, and by participant the master rate, the spread flag and whether a requested rate was taken."""
+    each = rates.sampling_rate(frame, STREAM)
+    positive = F.when(F.col("rate_hz") > 0, F.col("rate_hz"))
+    found = each.groupBy(*KEY).agg(F.coalesce(F.min(positive), F.lit(10.0)).alias("auto"), F.min(positive).alias("least"), F.max(positive).alias("most"), F.stddev_pop("rate_hz").alias("spread"))
+    chosen = found.withColumn("rate_hz", scoring.gated_rate(target_rate, F.col("least"), F.col("most"), F.col("auto")))
+    applied = F.lit(target_rate is not None) & (F.col("rate_hz") == F.lit(target_rate))
+    return each, chosen.select(*KEY, "rate_hz", (F.col("spread") > F.greatest(F.lit(0.05), 0.15 * F.col("rate_hz"))).alias("rate_drift"), F.coalesce(applied, F.lit(False)).alias("requested_applied"))
+
+
+def grid_of(spans: DataFrame) -> DataFrame:
+    """The common times of each participant, a step of whole milliseconds apart."""
+    step = F.greatest(F.lit(1), F.floor(1000 / F.col("rate_hz"))) * 1000
+    points = F.sequence(F.unix_micros("overlap_start"), F.unix_micros("overlap_end"), step.cast("long"))
+    return spans.select(*KEY, F.explode(points).alias("_us")).select(*KEY, F.timestamp_micros("_us").alias("ts"))
+
+
+def fuse(slots: list[DataFrame], target_rate: float | None = None, task: str | None = None) -> Fusion:
+    """``slots``: frames with participant_id, dataset_id, ts and channels, one per dataset; the base is the least dataset_id.
+
+    ``target_rate``: taken as the common rate if it is sane for a participant's streams. ``task``: sets the weights of
+    the score; else each participant's inferred task does. Raises if no participant's datasets overlap in time.
+    """
+    if not 2 <= len(slots) <= 4:
+        raise HarmonizeError("invalid_dataset_count", f"{len(slots)} datasets, 2 to 4 can be fused")
+    frame = cut(matched(slots).withColumn("ts", F.col("ts").cast("timestamp")))
+    channels = [c for c in frame.columns if c in registry.CHANNELS]
+    each, master = map(cut, rates_of(frame, target_rate))
+    moves = cut(alignment.offsets(frame, master))
+    aligned = alignment.shifted(frame, moves)
+    ends = cut(rates.durations(aligned, STREAM))
+    spans = ends.groupBy(*KEY).agg(F.max("start_ts").alias("overlap_start"), F.min("end_ts").alias("overlap_end"), F.count(F.lit(1)).alias("n"))
+    spans = cut(spans.where((F.col("n") > 1) & (F.col("overlap_start") <= F.col("overlap_end"))).join(master, KEY))
     if spans.isEmpty():
         raise HarmonizeError("no_time_overlap", "the datasets have no time in common")
-    points = resample.grid(spans, keys, f"{step} milliseconds").join(frame.select(*stream).distinct(), keys)
-    rows = resample.on_grid(points, frame, stream)
-    rows = rows.withColumns({c: resample.interpolated(c, stream) if registry.INTERPOLATION[c] == "linear" else resample.forward_filled(c, stream) for c in channels})
-    fused = resample.fused(rows, keys, channels)
-    total, missing, covered = sum(w for _, w, _ in registry.MODALITIES.values()) + 1e-9, F.lit(0.0), 0.0
-    for names, weight, _ in registry.MODALITIES.values():
-        used = [c for c in names if c in channels]
-        share = sum((F.avg(F.col(c).isNull().cast("double")) for c in used), F.lit(0.0)) / len(used) if used else F.lit(1.0)
-        missing, covered = missing + weight * share, covered + weight * bool(used)
-    penalty = fused.agg((missing / total).alias("p")).head().p
-    warnings = ["Limited modality available."] if len(registry.modalities_of(channels)) <= 1 else []
-    return Fusion(fused, known, master, round(penalty, 6), round(covered / total, 6), warnings)
+    points = grid_of(spans).join(frame.select(*STREAM).distinct(), KEY)
+    rows = resample.on_grid(points, aligned.select(*STREAM, "ts", *channels), STREAM)
+    rows = rows.withColumns({c: resample.interpolated(c, STREAM) if registry.INTERPOLATION[c] == "linear" else resample.forward_filled(c, STREAM) for c in channels})
+    rows = cut(rows)
+    fused = resample.fused(rows, KEY, channels)
+    has, has_any = cut(scoring.present(frame, STREAM)), cut(scoring.present(frame, KEY))
+    trend = cut(lags(rows, has, master))
+    report = cut(reported(frame, rows, fused, has, has_any, each, ends, master, spans, moves, trend, task))
+    return Fusion(fused, report, trend, rows)
+
+
+def lags(rows: DataFrame, has: DataFrame, master: DataFrame) -> DataFrame:
+    """Windows of each dataset against its participant's base, by acceleration."""
+    axes = scoring.SENSORS["acc"]
+    schema = f"participant_id {rows.schema['participant_id'].dataType.simpleString()}, dataset_id {rows.schema['dataset_id'].dataType.simpleString()}, idx long, mid timestamp, offset_seconds double, strength double, warp double"
+    if not set(axes) <= set(rows.columns):
+        return rows.sparkSession.createDataFrame([], schema)
+    whole = has.where(" and ".join("has_" + c for c in axes)).select(*STREAM)
+    m = magnitude(*(F.col(a) for a in axes), nulls="skip")
+    signal = alignment.numbered(rows.join(whole, STREAM, "left_semi").select(*STREAM, "ts", m.alias("m")), STREAM)
+    # Without acceleration in the base there is nothing to compare with.
+    base = rows.groupBy(*KEY).agg(F.min("dataset_id").alias("dataset_id")).join(whole, STREAM, "left_semi").select(*KEY)
+    long = signal.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("n")).where("n >= 8").select(*STREAM)
+    pairs = alignment.star_pairs(signal.join(base, KEY, "left_semi").join(long, STREAM, "left_semi"), KEY)
+    return alignment.window_lags(pairs.join(master.select(*KEY, "rate_hz"), KEY), STREAM)
+
+
+def context(frame: DataFrame, each: DataFrame, has_any: DataFrame) -> DataFrame:
+    """What task inference asks for: means over a participant's datasets of rate, duration and variance."""
+    channels = [c for c in frame.columns if c in registry.CHANNELS]
+    size = rates.durations(frame, STREAM).select(*STREAM, "duration_seconds").join(frame.groupBy(*STREAM).agg(scoring.variance_score(channels).alias("variance")), STREAM)
+    means = each.join(size, STREAM).groupBy(*KEY).agg(F.avg("rate_hz").alias("rate_hz"), F.avg("duration_seconds").alias("duration_seconds"), F.avg("variance").alias("variance"))
+    any_of = lambda *modalities: F.lit(False) if not (used := [c for m in modalities for c in registry.MODALITIES[m][0] if c in channels]) else F.greatest(*(F.col("has_" + c) for c in used), F.lit(False))
+    flags = {"acc": ["accelerometer"], "gyro": ["gyroscope"], "gps": ["gps"], "hr": ["heart_rate"], "env": ["barometer", "light", "proximity"]}
+    return means.join(has_any, KEY).select(*KEY, "rate_hz", "duration_seconds", "variance", *(any_of(*m).alias("has_" + k) for k, m in flags.items()))
+
+
+def reported(frame, rows, fused, has, has_any, each, ends, master, spans, moves, trend, task: str | None) -> DataFrame:
+    """One row per participant: rates, offsets, integrity, components, drift, score, confidence, warnings."""
+    pairs = scoring.pair_signals(rows, has, KEY).join(master.select(*KEY, "rate_hz"), KEY)
+    n_modalities = scoring.integrity(fused, has_any, KEY)
+    one_sensor = n_modalities.where("n_modalities <= 1").select(*KEY)
+    pairs = pairs.where("sensor = 'acc'").unionByName(pairs.where("sensor <> 'acc'").join(one_sensor, KEY, "left_anti"))
+    drift = alignment.drift_summary(trend, KEY)
+    axes = [c for c in scoring.SENSORS["acc"] if "has_" + c in has.columns]
+    base_acc = has.groupBy(*KEY).agg(F.min_by(F.expr(" and ".join("has_" + c for c in axes)) if len(axes) == 3 else F.lit(False), "dataset_id").alias("base_acc"))
+    sizes = spans.select(*KEY, "overlap_start", "overlap_end", (F.col("overlap_start") == F.col("overlap_end")).alias("short"))
+    tasks = scoring.with_task(context(frame, each, has_any)).select(*KEY, "task", "task_confidence", "task_profile")
+    datasets = each.join(ends, STREAM).join(moves.select(*STREAM, "offset_seconds"), STREAM, "left").join(master.select(*KEY, F.col("rate_hz").alias("master_rate_hz")), KEY)
+    datasets = datasets.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(  # at most four
+        "dataset_id", F.col("rate_hz").alias("sampling_rate_hz"), "duration_seconds", "start_ts", "end_ts", F.round(F.coalesce("offset_seconds", F.lit(0.0)), 4).alias("offset_seconds"),
+        scoring.resampling_strategy(F.col("rate_hz"), F.col("master_rate_hz")).alias("resampling_strategy"),
+    ))).alias("datasets"))
+    out = sizes.join(master, KEY).join(datasets, KEY).join(n_modalities, KEY).join(base_acc, KEY).join(tasks, KEY)
+    out = out.join(scoring.components(pairs, KEY), KEY, "left").join(drift, KEY, "left").join(scoring.divergence(rows, KEY), KEY, "left")
+    # Stability where drift cannot be told.
+    unknown = F.when(F.col("short"), 0.7).when(~F.col("base_acc"), 0.6).otherwise(0.7)
+    out = out.withColumns({
+        "stability": F.when(F.col("short"), 0.7).otherwise(F.coalesce("stability", unknown)),
+        "drift": F.when(F.col("short"), "none").otherwise(F.coalesce("drift", F.lit("none"))),
+        "limited": F.col("n_modalities") <= 1,
+        "divergence": F.coalesce("divergence", F.lit(0.0)),
+        "task": F.lit(task) if task else F.col("task"),
+    })
+    out = scoring.with_score(out.withColumn("profile", scoring.profile_of(F.col("task"), F.lit("") if task else F.col("task_profile"))))
+    return out.select(
+        *KEY, F.col("rate_hz").alias("master_rate_hz"), "requested_applied", "datasets", "overlap_start", "overlap_end",
+        F.round(seconds(F.col("overlap_end")) - seconds(F.col("overlap_start")), 3).alias("overlap_seconds"),
+        (F.col("rate_drift") | (F.col("drift") != "none")).alias("drift_detected"), F.col("drift").alias("drift_type"), "mean_offset", "slope", "warp", "stability",
+        *scoring.DEFAULTS, "missingness", "coverage", "stability_factor", "missing_modalities", "missing_percent", "divergence", "task", "task_confidence", "profile", "hqscore",
+        confidence(F.col("hqscore")).alias("confidence"),
+        scoring.confidence_reason(F.col("hqscore"), F.size("missing_modalities"), F.col("divergence"), F.col("drift")).alias("reason"),
+        F.array_compact(F.array(F.when(F.col("limited"), F.lit("Limited modality available.")))).alias("warnings"),
+    )
+
+
+def rolled_up(report: DataFrame) -> DataFrame:
+    """All participants as one row: mean scores and rates, the worst drift, whether any drifts, all warnings."""
+    worst = F.when(F.col("drift_type") == "significant", 2).when(F.col("drift_type") == "minor", 1).otherwise(0)
+    return report.agg(
+        F.count(F.lit(1)).alias("participants"), F.round(F.avg("hqscore"), 4).alias("hqscore"), F.round(F.avg("master_rate_hz"), 4).alias("master_rate_hz"),
+        *(F.round(F.avg(c), 4).alias(c) for c in ("distribution", "spectral", "temporal", "missingness", "coverage", "stability_factor")),
+        *(F.round(F.avg(c), 6).alias(c) for c in ("kl", "wasserstein", "coherence", "frequency", "peak", "snr")),
+        F.max_by("drift_type", worst).alias("drift_type"), F.bool_or("drift_detected").alias("drift_detected"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings")))).alias("warnings"),
+    )
 
 
 def hqscore(distribution: float, spectral: float, temporal: float, missingness: float, coverage: float, stability: float, profile: str = "default") -> float:

@@ -23,6 +23,17 @@ WEIGHTS = {
     "distribution_coverage": (0.30, 0.14, 0.14, 0.12, 0.20, 0.10),
     "limited_modality": (0.34, 0.08, 0.10, 0.20, 0.20, 0.08),
 }
+# Suggested window (seconds), rate (Hz) and weight profile by task.
+TASKS = {
+    "Human Activity Recognition": (2.5, 50.0, "temporal_spectral"),
+    "Gait Analysis": (4.0, 100.0, "temporal_spectral"),
+    "Free-living Monitoring": (10.0, 25.0, "stability_temporal"),
+    "Driving Behavior": (5.0, 20.0, "stability_temporal"),
+    "Health Monitoring": (8.0, 25.0, "missingness_stability"),
+    "Environmental Sensing": (30.0, 1.0, "distribution_coverage"),
+}
+# Below minus these, the mean of a sensor's dominant axis counts as inverted.
+AXIS_LIMITS = {"acc": 0.5, "gyro": 0.05, "mag": 1.0}
 CHANNELS = tuple(c for columns, _, _ in MODALITIES.values() for c in columns)
 INTERPOLATION = {c: how for columns, _, how in MODALITIES.values() for c in columns}
 

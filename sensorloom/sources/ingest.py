@@ -1,7 +1,7 @@
 """CSV and ZIP slots to one long frame: discovery, schema inference, canonical names, participants.
 
-Only headers, file names and small aggregates reach the driver; the rows are read once, as text columns, by one scan
-per set of equal headers, and cast there.
+Only headers, file names and small aggregates reach the driver; the rows are read as text columns, a scan for each file,
+and cast there.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 import zipfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ TIME_HINTS = ("timestamp", "time", "ts", "datetime", "date_time", "recorded_at")
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "MM/dd/yyyy HH:mm[:ss]", "yyyy-MM-dd")
 TOKEN = re.compile(r"(?<![a-z])(?:participant|subject|user|person|p)[_-]?\d+", re.I)
 CORRUPT = "_corrupt"
+#: Errors of one file that fail its slot.
+CRITICAL = frozenset({"dataset_empty", "invalid_csv", "dataset_too_large", "missing_timestamp_column", "invalid_timestamp_format"})
 
 
 @dataclass
@@ -40,18 +42,20 @@ def label(name: str) -> str:
     return re.sub("[^a-z0-9]+", "_", name.strip().lower()).strip("_")
 
 
+# Names that stand for a channel, after ``label``; ``@``: one of x, y, z.
+NAMES = {
+    "acc_@": r"acc(el(erometer)?)?_?@|a_?@", "gyro_@": r"gyro(scope)?_?@|g_?@|w@", "mag_@": r"mag(netometer)?_?@|m_?@",
+    "gps_lat": r"(gps_?)?lat(itude)?", "gps_lon": r"(gps_?)?(lon(gitude)?|lng)", "gps_alt": r"(gps_?)?alt(itude)?", "gps_speed": r"(gps_?)?speed|velocity",
+    "heart_rate": r"heart_?rate|hr|pulse", "pressure": r"pressure|baro(meter)?", "light_lux": r"light|lux|illuminance", "proximity": r"proximity",
+}
+PATTERNS = [(to.replace("@", axis), re.compile(rule.replace("@", axis))) for to, rule in NAMES.items() for axis in ("xyz" if "@" in to else " ")]
+SENSOR_LIKE = ("acc", "gyro", "mag", "gps", "heart", "hr", "pressure", "light", "prox")
+
+
 def canonical(name: str) -> str | None:
     """The channel that a column's name stands for, or None."""
     x = label(name)
-    if x in CHANNELS:
-        return x
-    words = set(x.split("_"))
-    axis = next((a for a in "xyz" if a in words or x.endswith(a) and x[:-1] in ("acc", "gyro", "mag", "accel", "accelerometer", "gyroscope", "magnetometer")), None)
-    for prefix, hints in (("acc", ("acc", "accel", "accelerometer", "accelx", "accely", "accelz", "linacc")), ("gyro", ("gyro", "gyroscope", "rotation")), ("mag", ("mag", "magnetometer"))):
-        if axis and (words & set(hints) or x.rstrip("xyz").rstrip("_") in hints) and len(words) <= 2:
-            return f"{prefix}_{axis}"
-    simple = {"latitude": "gps_lat", "lat": "gps_lat", "longitude": "gps_lon", "lon": "gps_lon", "lng": "gps_lon", "speed": "gps_speed", "altitude": "gps_alt", "alt": "gps_alt", "pressure": "pressure", "barometer": "pressure", "heart_rate": "heart_rate", "heartrate": "heart_rate", "hr": "heart_rate", "bpm": "heart_rate", "light": "light_lux", "lux": "light_lux", "proximity": "proximity"}
-    return simple.get(x)
+    return x if x in CHANNELS else next((to for to, rule in PATTERNS if rule.fullmatch(x)), None)
 
 
 def mapping(columns: list[str]) -> dict[str, str]:
@@ -107,8 +111,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     if not names:
         raise HarmonizeError("dataset_empty", f"{path} has no columns")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-    df = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).cache()
-    n, broken = df.agg(F.count(F.lit(1)), F.count(CORRUPT)).head()
+    df = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    # Counts over all columns: with only some of them the reader would not see malformed rows.
+    whole = df.withColumn("_all", F.struct(*(F.col(f"`{c}`") for c in names)))
+    n, broken, _ = whole.agg(F.count(F.lit(1)), F.count(CORRUPT), F.max(F.hash("_all"))).head()
     # The reader closes an open quotation at the line's end without a word; such lines have an odd number of quotes.
     quotes = F.length("value") - F.length(F.translate("value", '"', ""))
     broken += spark.read.text(path).where(quotes % 2 == 1).count()
@@ -119,8 +125,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.drop(CORRUPT)
 
 
-def time_column(df: DataFrame) -> str:
-    """The hinted column of which most values parse as times; ties go to the first."""
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of any known format, by the path's ending: csv, txt (also comma-separated) or parquet."""
+    ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if ending in ("csv", "txt"):
+        return read_csv(spark, path)
+    if ending == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"no reader for {path}: csv, txt and parquet are known")
+
+
+def time_column(df: DataFrame) -> tuple[str, bool]:
+    """The hinted column of which most values parse as times (ties go to the first), and whether another is as good.
+
+    As good: a share of parsed values within 0.1 of the best.
+    """
     hinted = [c for c in df.columns if any(h in label(c) for h in TIME_HINTS)]
     if not hinted:
         raise HarmonizeError("missing_timestamp_column", f"none of {df.columns} looks like a time")
@@ -128,34 +147,75 @@ def time_column(df: DataFrame) -> str:
     best = max(range(len(hinted)), key=lambda i: (shares[i] or 0.0, -i))
     if not shares[best]:
         raise HarmonizeError("invalid_timestamp_format", f"no value of {hinted[best]} parses as a time")
-    return hinted[best]
+    others = [x or 0.0 for i, x in enumerate(shares) if i != best]
+    return hinted[best], bool(others) and shares[best] - max(others) < 0.1
 
 
-def canonical_frame(df: DataFrame, max_rows: int | None = None, strict: bool = False) -> tuple[DataFrame, float]:
-    """ts and channels of one file, and the share of sensor-like columns that were recognised."""
+def strided(df: DataFrame, n: int, most: int) -> DataFrame:
+    """Every k-th of the ``n`` rows in file order, so that at most ``most`` remain.
+
+    Rows are numbered within their partitions, and partitions by running counts: no row leaves its partition.
+    """
+    step = -(-n // most)
+    placed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    sizes = {r._part: r.n for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part] = total
+        total += sizes[part]
+    first = F.create_map(*(F.lit(x).cast("long") for kv in before.items() for x in kv))[F.col("_part")]
+    return placed.where((first + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))) % step == 0).drop("_id", "_part")
+
+
+def canonical_frame(df: DataFrame, max_rows: int | None = None, strict: bool = False) -> tuple[DataFrame, float, list[str]]:
+    """ts and channels of one file, the share of sensor-like columns that were recognised, and warnings.
+
+    Channels without any number are left out.
+    """
+    warnings = []
     if max_rows is not None:
         n = df.count()
         if n > max_rows and strict:
             raise HarmonizeError("dataset_too_large", f"{n} rows, at most {max_rows}", rows=n)
         if n > max_rows:
-            numbered = df.withColumn("_at", F.monotonically_increasing_id())
-            step = -(-n // max_rows)
-            df = numbered.withColumn("_rn", F.row_number().over(Window.orderBy("_at"))).where((F.col("_rn") - 1) % step == 0).drop("_at", "_rn")
-    ts, to = time_column(df), mapping(df.columns)
-    like = [c for c in df.columns if canonical(c) or any(x in label(c) for x in ("acc", "gyro", "mag", "gps", "press", "heart", "light", "prox"))]
+            df = strided(df, n, max_rows)
+            warnings.append(f"{n} rows, thinned to at most {max_rows}")
+    (ts, ambiguous), to = time_column(df), mapping(df.columns)
+    to.pop(ts, None)
+    if ambiguous:
+        warnings.append(f"{ts} taken as the time, another column parses as well")
+    like = [c for c in df.columns if c != ts and any(x in label(c) for x in SENSOR_LIKE)]
     out = df.select(parsed_time(F.col(f"`{ts}`")).alias("ts"), *(F.col(f"`{c}`").try_cast("double").alias(x) for c, x in to.items())).where("ts is not null")
-    return out, round(min(1.0, len(to) / max(1, len(like))), 4)
+    if to:
+        filled = out.agg(*(F.count(x).alias(x) for x in to.values())).head()
+        empty = [c for c, x in to.items() if not filled[x]]
+        warnings += [f"{c} has no number and is left out" for c in empty]
+        out = out.drop(*(to[c] for c in empty))
+    return out, round(min(1.0, len(to) / max(1, len(like))), 4), warnings
 
 
 def read_slot(spark: SparkSession, root: str, dataset_id: str, most_files: int = 250, max_rows: int | None = None, strict: bool = False) -> Slot:
-    """Every CSV below ``root`` as one frame; equal times of a participant become one row, earlier files first."""
+    """Every CSV below ``root`` as one frame; equal times of a participant become one row, earlier files first.
+
+    A file that cannot be used fails the slot with its error, if that is one of ``CRITICAL``; any other is skipped
+    with a warning, as long as one file is left.
+    """
     files, warnings = find_files(root, most_files)
     owner, grouping = group_files(files, root)
     frames, shares = [], []
     for i, path in enumerate(f for f in files if f in owner):
-        frame, share = canonical_frame(read_csv(spark, path), max_rows, strict)
+        try:
+            frame, share, said = canonical_frame(read_csv(spark, path), max_rows, strict)
+        except HarmonizeError as e:
+            if e.kind in CRITICAL:
+                raise
+            warnings.append(f"skipped {os.path.basename(path)}: {e.message}")
+            continue
         shares.append(share)
+        warnings += [f"{os.path.basename(path)}: {x}" for x in said]
         frames.append(frame.select(F.lit(owner[path]).alias("participant_id"), F.lit(i).alias("file_no"), F.monotonically_increasing_id().alias("row_no"), *frame.columns))
+    if not frames:
+        raise HarmonizeError("invalid_dataset_content", f"no file below {root} can be used")
     whole = frames[0]
     for frame in frames[1:]:
         whole = whole.unionByName(frame, allowMissingColumns=True)
@@ -163,4 +223,5 @@ def read_slot(spark: SparkSession, root: str, dataset_id: str, most_files: int =
 
     channels = [c for c in whole.columns if c in CHANNELS]
     merged = first_known(whole, ["participant_id", "ts"], channels, ["file_no", "row_no"])
-    return Slot(merged.withColumn("dataset_id", F.lit(dataset_id)), sorted(set(owner.values())), grouping, modalities_of(channels), round(sum(shares) / len(shares), 4), warnings)
+    participants = sorted({owner[f] for f in files if f in owner})
+    return Slot(merged.withColumn("dataset_id", F.lit(dataset_id)), participants, grouping, modalities_of(channels), round(sum(shares) / len(shares), 4), list(dict.fromkeys(warnings)))
