@@ -13,6 +13,11 @@ def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounds the scaled double, half away from zero, as SQL engines do; ``F.round`` would round its decimal text."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.columns import clip
+from sensorloom.functions.columns import clip, rounded
 
 
 def alignment_error(offsets: DataFrame, truth: DataFrame, keys: list[str] = ["scenario"]) -> DataFrame:
@@ -29,13 +29,13 @@ def with_final_scores(rows: DataFrame, worst_error_seconds: float = 1.0) -> Data
     Of rows with alignment_mae, wasserstein_similarity, frequency_similarity, drift_stability, hqscore_with,
     hqscore_without, predicted_confidence, chosen and best (strategies).
     """
-    improvement = F.round(F.col("hqscore_with") - F.col("hqscore_without"), 6)
-    error = F.round(clip(F.abs(F.col("predicted_confidence") - F.col("hqscore_with"))), 6)
+    improvement = rounded(F.col("hqscore_with") - F.col("hqscore_without"), 6)
+    error = rounded(clip(F.abs(F.col("predicted_confidence") - F.col("hqscore_with"))), 6)
     right = (F.col("chosen") == F.col("best")).cast("double")
     signal = clip((1 - clip(F.col("alignment_mae") / max(1e-9, worst_error_seconds)) + F.col("wasserstein_similarity") + F.col("frequency_similarity") + F.col("drift_stability")) / 4)
     agent = clip((clip((F.col("hqscore_improvement") + 1) / 2) + 1 - clip(F.col("confidence_calibration_error")) + F.col("strategy_selection_accuracy")) / 3)
     rows = rows.withColumns({"hqscore_improvement": improvement, "confidence_calibration_error": error, "strategy_selection_accuracy": right})
-    return rows.withColumns({"signal_score": F.round(signal, 6), "agent_score": F.round(agent, 6), "final_score": F.round(clip(0.6 * signal + 0.4 * agent), 6)})
+    return rows.withColumns({"signal_score": rounded(signal, 6), "agent_score": rounded(agent, 6), "final_score": rounded(clip(0.6 * signal + 0.4 * agent), 6)})
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def ledger_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = S.table(spark, sf_dir, "orders")
     text = F.to_json(F.struct(((F.col("o_custkey") % 5) * 10.0).alias("chosen_master_rate_hz"), (F.col("o_totalprice") / 300000.0).alias("hqscore"), F.col("o_orderpriority").alias("task_type")))
     jobs = o.select(F.col("o_orderkey").alias("job"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("processing").alias("status"), text.alias("learning"))
-    return sinks.valid_records(jobs).select("job", "chosen_master_rate_hz", F.round("hqscore", 6).alias("hqscore"), "task_type")
+    return sinks.valid_records(jobs).select("job", "chosen_master_rate_hz", C.rounded(F.col("hqscore"), 6).alias("hqscore"), "task_type")
 
 
 @query("""with s as (select c_custkey scenario, (c_custkey % 13) / 10.0 mae, (c_custkey % 7) / 7.0 w, (c_custkey % 11) / 11.0 fr, (c_custkey % 5) / 5.0 dr, (c_custkey % 17) / 17.0 h1, (c_custkey % 19) / 19.0 h0, (c_custkey % 23) / 23.0 conf, c_custkey % 3 = 0 ok from customer),

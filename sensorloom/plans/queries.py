@@ -362,8 +362,7 @@ def research_top_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with g as (select o_orderkey, o_totalprice / 500000.0 - 0.3 gain from orders) select o_orderkey, round(gain, 6) gain, (case when gain <= 0 then 0.3 when gain < 0.01 then 0.6 when gain < 0.05 then 0.8 else 0.95 end)::double confidence, case when gain >= 0 then 'accepted' else 'rejected' end verdict from g")
 def observer_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     gain = F.col("o_totalprice") / 500000.0 - 0.3
-    exact = F.round(gain * 1e6) / 1e6  # rounds the scaled value, as SQL engines do: ties are those of the double
-    return S.table(spark, sf_dir, "orders").select("o_orderkey", exact.alias("gain"), decisions.observer_confidence(gain).alias("confidence"), decisions.accepted_change(F.lit(0.0), gain).alias("verdict"))
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", C.rounded(gain, 6).alias("gain"), decisions.observer_confidence(gain).alias("confidence"), decisions.accepted_change(F.lit(0.0), gain).alias("verdict"))
 
 
 @query(f"with {EVENTS}, w as (select dataset_id, ts, case when event_id % 5 <> 0 then value end v from ev), m as (select dataset_id, v, median(v) over (partition by dataset_id order by ts rows between 2 preceding and 2 following) s from w) select dataset_id, sum((v is null)::bigint)::bigint n_missing, sum((coalesce(v, s) is null)::bigint)::bigint n_left, round(avg(coalesce(v, s)), 6) mean_value from m group by 1")
