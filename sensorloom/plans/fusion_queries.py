@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sensorloom import registry
 from sensorloom.functions import columns as C
 from sensorloom.operators import alignment, benchmark, rates, scoring, signals
+from sensorloom.plans import pipeline
 from sensorloom.plans.queries import EVENTS, IMU, query, rounded
 from sensorloom.sources import sinks
 from sensorloom.sources import tables as S
@@ -174,3 +175,13 @@ def divergence_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.imu(spark, sf_dir)
     one = lambda d: rows.select("label", F.timestamp_millis("pos").alias("ts"), F.lit(f"dataset{d}").alias("dataset_id"), *(F.col(c + str(d)).alias(c) for c in ("acc_x", "acc_y", "gyro_z")))
     return scoring.divergence(one(1).unionByName(one(2)), ["label"])
+
+
+@query()
+def fuse_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of fusing the two datasets of every label, a participant each: its scalar columns."""
+    rows = alignment.numbered(S.imu(spark, sf_dir), ["label"], "pos")
+    names = [f"{s}_{a}" for s in ("acc", "gyro") for a in "xyz"]
+    slot = lambda d: rows.select(F.col("label").cast("string").alias("participant_id"), F.lit(f"dataset{d}").alias("dataset_id"), F.timestamp_millis(F.col("pos") * 50).alias("ts"), *(F.col(c + str(d)).alias(c) for c in names))
+    report = pipeline.fuse([slot(1), slot(2)]).report
+    return report.select("participant_id", "master_rate_hz", "overlap_seconds", "drift_detected", "drift_type", F.round("stability", 4).alias("stability"), F.round("missingness", 6).alias("missingness"), F.round("coverage", 6).alias("coverage"), "divergence", "task", "profile", "hqscore", "confidence")

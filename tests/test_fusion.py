@@ -92,6 +92,12 @@ def test_drift_equals_direct_computation(spark):
     assert got.drift == "significant"
 
 
+def test_fusion_query(spark):
+    rows = fusion_queries.fuse_by_label(spark, "/root/testdata/sf0.001").collect()
+    assert len({r.participant_id for r in rows}) == len(rows) > 1
+    assert all(0 <= r.hqscore <= 1 and r.master_rate_hz == 20.0 and r.coverage == pytest.approx(0.45, abs=1e-4) for r in rows)
+
+
 def test_drift_query_and_alignment_error(spark):
     assert fusion_queries.drift_by_label(spark, "/root/testdata/sf0.001").count() > 0
     offsets = spark.createDataFrame([("s", "d2", 0.5), ("s", "d3", 1.0)], "scenario string, dataset_id string, offset_seconds double")
