@@ -8,7 +8,7 @@
    of both, for paragraphs of which a part is quoted or whose lines are wrapped anew. Equal hashes in one
    conversation point from a quoted passage to the first message that wrote the unit, if that came earlier. A
    passage is linked to a message if its whole or a paragraph is found there, or if the lines found (or, where
-   there are none, the runs) make up at least ``SHARE`` of its characters: a short line alone proves nothing.
+   there are none, the runs) make up at least ``SHARE`` of it: a short line alone proves nothing.
 3. The shallowest level links to the parent; with several candidates, the most quoted characters, then the
    latest turn. ``root_turn`` and ``depth`` follow by pointer doubling over the links.
 4. ``position`` is a message's place in its reply-ordered conversation: every message right below the one that it
@@ -39,7 +39,7 @@ ATTRIBUTION = r"(?i)(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
 NO_STRINGS = "array<string>"
 #: Words of a run by which partial quotations are found.
 RUN = 5
-#: Share of a passage's characters that must be found where only lines or runs of it are.
+#: Share of a passage (characters of its lines, or number of its runs) that must be found where not all of it is.
 SHARE = 0.5
 BLOCK = 4096
 
@@ -105,17 +105,18 @@ def links(rows: DataFrame) -> DataFrame:
     written = shared.stored(written, "written")
 
     def matched(kind: str, quoted: DataFrame, written: DataFrame) -> DataFrame:
-        """conv_id, turn, place, level, size, source and n: the found characters of each passage in each earlier message."""
+        """conv_id, turn, place, level, size, source, n and units_found: what of each passage is in each earlier message."""
         first = written.select("conv_id", "turn", F.explode(kind).alias("u")).groupBy("conv_id", "u.h").agg(F.min("turn").alias("source"))
         said = quoted.select("conv_id", "turn", "place", "level", "size", F.explode(kind).alias("u")).select("conv_id", "turn", "place", "level", "size", "u.h", "u.n").distinct()
-        return said.join(first, ["conv_id", "h"]).where(F.col("source") < F.col("turn")).groupBy("conv_id", "turn", "place", "level", "size", "source").agg(F.sum("n").alias("n"))
+        return said.join(first, ["conv_id", "h"]).where(F.col("source") < F.col("turn")).groupBy("conv_id", "turn", "place", "level", "size", "source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("units_found"))
 
     passage = ["conv_id", "turn", "place"]
     exact = shared.stored(matched("units", quoted, written), "quoted-exactly")
     by_line = matched("lines", quoted, written).where(F.col("n") >= SHARE * F.col("size")).join(exact.select(*passage).distinct(), passage, "left_anti")
     found = exact.unionByName(shared.stored(by_line, "quoted-by-line"))
-    # Runs overlap: those found cover about a RUN-th of their summed lengths.
-    by_run = matched("runs", with_runs(quoted), with_runs(written)).where(F.col("n") / RUN + RUN >= SHARE * F.col("size"))
+    # Runs overlap, so it is their number that counts, not their characters.
+    runs = with_runs(quoted)
+    by_run = matched("runs", runs.withColumn("size", F.size("runs")), with_runs(written)).where(F.col("units_found") >= SHARE * F.col("size"))
     found = found.unionByName(by_run.join(found.select(*passage).distinct(), passage, "left_anti"))
     found = found.groupBy("conv_id", "turn", "source").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
     best = F.max_by("source", F.struct(-F.col("level"), F.col("n"), F.col("source")))
