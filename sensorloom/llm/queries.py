@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontamination, near_duplicates, packing, quality_classifier, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter, wrappers
+from sensorloom.llm import decontamination, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words_a_shingle=2, percent=80)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_factorisation_machine": op1_factorisation_machine,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_quotation_linking": op9_quotation_linking,
         "op10_hyperminhash": op10_hyperminhash,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
