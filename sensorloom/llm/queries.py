@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontamination, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter, wrappers
+from sensorloom.llm import decontamination, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter, vector_codes, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_repeated_tails(table(spark, sf_dir, "documents"))))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_factorisation_machine": op1_factorisation_machine,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quotation_linking": op9_quotation_linking,
         "op10_hyperminhash": op10_hyperminhash,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
