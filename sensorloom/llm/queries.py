@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontamination, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter, vector_codes, wrappers
+from sensorloom.llm import decontamination, mixing, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, quotations, shared, substring_dedup, token_store, tokens, url_filter, vector_codes, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents")).taken()
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_factorisation_machine": op1_factorisation_machine,
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_hyperminhash": op10_hyperminhash,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_vector_codes": op12_vector_codes,
+        "op13_source_mix": op13_source_mix,
     }
 
 
