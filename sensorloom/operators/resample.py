@@ -19,9 +19,57 @@ def grid(overlaps: DataFrame, keys: list[str], step: str) -> DataFrame:
     return overlaps.where("overlap_start is not null").select(*keys, points.alias("ts"))
 
 
-def on_grid(points: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
+#: Points of a grid that one task makes and fills at once.
+BLOCK = 100_000
+
+
+def blocked_grid(spans: DataFrame, keys: list[str], step_us: Column, ts: str = "ts", block: int = BLOCK) -> DataFrame:
+    """keys, ``ts`` and ``_block``: a row each ``step_us`` microseconds from overlap_start to overlap_end.
+
+    Blocks are made first and dealt out, points then: no array is longer than a block, and a long grid has many tasks.
+    """
+    first = F.unix_micros(F.col("overlap_start").cast("timestamp"))
+    n = F.floor((F.unix_micros(F.col("overlap_end").cast("timestamp")) - first) / step_us).cast("long") + 1
+    rows = spans.where("overlap_start <= overlap_end").select(*keys, first.alias("_first"), n.alias("_n"), step_us.cast("long").alias("_step"))
+    last = F.floor((F.col("_n") - 1) / block).cast("long")
+    blocks = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_block")).repartition(*keys, "_block")
+    begin = F.col("_block") * block
+    points = blocks.select(*keys, "_first", "_step", "_block", F.explode(F.sequence(begin, F.least(F.col("_n"), begin + block) - 1)).alias("_i"))
+    return points.select(*keys, F.timestamp_micros(F.col("_first") + F.col("_i") * F.col("_step")).alias(ts), "_block")
+
+
+def on_grid(points: DataFrame, samples: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Samples at the grid's exact times; others are left out, times without sample are null."""
-    return points.join(samples, [*keys, "ts"], "left")
+    return points.join(samples, [*keys, ts], "left")
+
+
+def filled(rows: DataFrame, keys: list[str], how: dict[str, str], ts: str = "ts", block: str = "_block") -> DataFrame:
+    """Channels filled over time, ``linear`` or ``ffill``, as ``interpolated`` and ``forward_filled`` do, block by block.
+
+    The last known value before a block and the first one after it come from one row a block, so that no window holds
+    more than a block of a stream.
+    """
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct(seconds(F.col(ts)).alias("t"), F.col(c).alias("v")))
+    ends = rows.groupBy(*keys, block).agg(*(F.min(known(c)).alias(f"_f_{c}") for c in how), *(F.max(known(c)).alias(f"_l_{c}") for c in how))
+    over = Window.partitionBy(*keys).orderBy(block)
+    earlier, later = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(*keys, block, *(F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_b_{c}") for c in how), *(F.first(f"_f_{c}", ignorenulls=True).over(later).alias(f"_a_{c}") for c in how))
+    own = Window.partitionBy(*keys, block).orderBy(ts)
+    back, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+
+    def value(c: str) -> Column:
+        before = F.coalesce(F.last(known(c), ignorenulls=True).over(back), F.col(f"_b_{c}"))
+        if how[c] == "ffill":
+            return before["v"]
+        after = F.coalesce(F.first(known(c), ignorenulls=True).over(ahead), F.col(f"_a_{c}"))
+        slope = F.try_divide(after["v"] - before["v"], after["t"] - before["t"])
+        return F.coalesce(F.col(c), before["v"] + slope * (seconds(F.col(ts)) - before["t"]), before["v"])
+
+    return rows.join(carried, [*keys, block]).withColumns({c: value(c) for c in how}).select(*(c for c in rows.columns if c != block))
+
+
+def filled_linear(rows: DataFrame, keys: list[str], names: list[str], ts: str = "ts") -> DataFrame:
+    return filled(rows, keys, dict.fromkeys(names, "linear"), ts)
 
 
 def interpolated(value: str, keys: list[str], ts: str = "ts") -> Column:
@@ -44,6 +92,10 @@ def rolling_median(value: str, keys: list[str], order: str, width: int) -> Colum
     return F.percentile(value, F.lit(0.5)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half))
 
 
+def known_in_group(value: str, keys: list[str]) -> Column:
+    return F.count(value).over(Window.partitionBy(*keys))
+
+
 def rolling_mean(value: str, keys: list[str], order: str, width: int = 5) -> Column:
     return F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - width, 0))
 
