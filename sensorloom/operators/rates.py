@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import seconds
@@ -14,12 +14,16 @@ def with_gap(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     return df.withColumn("gap", seconds(F.col(ts)) - seconds(F.lag(ts).over(w)))
 
 
-def sampling_rate(df: DataFrame, keys: list[str], ts: str = "ts", digits: int | None = 2, default: float = 1.0) -> DataFrame:
-    """Rate of each stream: one over the median gap; ``default`` without a positive median."""
+def rate_of_gaps(digits: int | None = 2, default: float = 1.0) -> Column:
+    """An aggregate over rows with ``gap``: one over its median; ``default`` without a positive median."""
     median = F.percentile("gap", 0.5)
     rate = F.when(median > 0, 1 / median)
-    rate = rate if digits is None else F.round(rate, digits)
-    return with_gap(df, keys, ts).groupBy(*keys).agg(F.coalesce(rate, F.lit(default)).alias("rate_hz"), F.count(F.lit(1)).alias("n"))
+    return F.coalesce(rate if digits is None else F.round(rate, digits), F.lit(default))
+
+
+def sampling_rate(df: DataFrame, keys: list[str], ts: str = "ts", digits: int | None = 2, default: float = 1.0) -> DataFrame:
+    """Rate of each stream: one over the median gap; ``default`` without a positive median."""
+    return with_gap(df, keys, ts).groupBy(*keys).agg(rate_of_gaps(digits, default).alias("rate_hz"), F.count(F.lit(1)).alias("n"))
 
 
 def master_rate(rates: DataFrame, keys: list[str], fallback: float = 10.0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Similarity of two signals: distributions, cross-correlation, noise; and small grouped kernels in numpy.
 
-Pairs are positional: rows carry (keys, pos, x, y). The numpy kernels get one signal pair per group, all of it.
+Pairs are positional: rows carry (keys, pos, x, y). The numpy kernels get one segment of a signal pair per group; what
+they give for each frequency is averaged by Spark.
 """
 
 from __future__ import annotations
@@ -121,16 +122,57 @@ def dtw(x: np.ndarray, y: np.ndarray) -> float:
     return float(last[n])
 
 
-def pair_kernels(pairs: DataFrame, key: str, rate: float, dtw_points: int = 600) -> DataFrame:
-    """key, dominant frequencies, coherence and normalised warping cost (of the whole signals, resampled) of each signal pair."""
+def segments(pairs: DataFrame, keys: list[str], size: int, overlap: bool = True) -> DataFrame:
+    """keys, segment, n (rows of a segment), pos, x, y: each row once for every segment of its pair that holds it.
+
+    Segments of ``size`` rows, or of all rows of a shorter pair, half overlapping; rows after the last whole one are left out.
+    """
+    rows = pairs.join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")), keys).withColumn("n", F.least(F.col("_all"), F.lit(size)).cast("long"))
+    step = F.greatest(F.lit(1), F.col("n") - F.floor(F.col("n") / 2)) if overlap else F.col("n")
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("n") + 1) / step)).cast("long")
+    last = F.least(F.floor(F.col("pos") / step), F.floor((F.col("_all") - F.col("n")) / step)).cast("long")
+    return rows.where(first <= last).select(*keys, "n", "pos", "x", "y", F.explode(F.sequence(first, last)).alias("segment"))
+
+
+def spectra(pairs: DataFrame, keys: list[str], size: int, periodic: bool = True) -> DataFrame:
+    """keys, k (frequency number), n, px, py, re, im: power and cross spectra by Welch's method, means over the segments.
+
+    ``periodic``: kind of the Hann taper. A task holds a segment; sums over segments combine on the map side.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
-        x, y = rows["x"].to_numpy(float), rows["y"].to_numpy(float)
-        thin = lambda s, n: np.interp(np.linspace(0, len(s) - 1, min(len(s), n)), np.arange(len(s)), s)
-        xs, ys = thin(x, 2000), thin(y, 2000)
-        cost = dtw(thin(xs, dtw_points), thin(ys, dtw_points)) / (2 * len(xs) * (xs.std() + ys.std() + 1e-6))
-        return pd.DataFrame({key: [rows[key].iloc[0]], "freq_x": [dominant_frequency(x, rate)], "freq_y": [dominant_frequency(y, rate)], "coherence": [coherence(x, y)], "dtw": [min(1.0, max(0.0, cost))]})
-
-    kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(key, "pos", "x", "y").groupBy(key).applyInPandas(run, f"{key} {kind}, freq_x double, freq_y double, coherence double, dtw double")
+        n = len(rows)
+        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if periodic else np.hanning(n)
+        fx, fy = (np.fft.rfft((rows[c].to_numpy(float) - rows[c].mean()) * taper) for c in "xy")
+        cross = fx * fy.conj()
+        out = pd.DataFrame({"k": np.arange(len(fx)), "n": n, "px": abs(fx) ** 2, "py": abs(fy) ** 2, "re": cross.real, "im": cross.imag})
+        for c in reversed(keys):
+            out.insert(0, c, rows[c].iloc[0])
+        return out
+
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keys)
+    each = segments(pairs.select(*keys, "pos", "x", "y"), keys, size).groupBy(*keys, "segment").applyInPandas(run, f"{kinds}, k long, n long, px double, py double, re double, im double")
+    return each.groupBy(*keys, "k").agg(F.max("n").alias("n"), *(F.avg(c).alias(c) for c in ("px", "py", "re", "im")))
+
+
+def mean_coherence(pairs: DataFrame, keys: list[str], segment: int = 256) -> DataFrame:
+    """keys, coherence: as the function ``coherence``, of signals of any length."""
+    share = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.greatest(F.col("px") * F.col("py"), F.lit(1e-300))
+    return spectra(pairs, keys, segment).groupBy(*keys).agg(F.avg(share).alias("coherence"))
+
+
+def dominant_frequencies(pairs: DataFrame, keys: list[str], rate: float, segment: int = 2000) -> DataFrame:
+    """keys, freq_x, freq_y: where the mean power over segments is greatest, the mean left out; of equals the least."""
+    top = lambda c: F.max(F.when(F.col("k") > 0, F.struct(F.col(c).alias("p"), (-F.col("k")).alias("k"))))
+    best = spectra(pairs, keys, segment, periodic=False).groupBy(*keys).agg(top("px").alias("x"), top("py").alias("y"), F.max("n").alias("n"))
+    return best.select(*keys, *(F.coalesce(-F.col(f"{c}.k") * rate / F.col("n"), F.lit(0.0)).alias(f"freq_{c}") for c in "xy"))
+
+
+def pair_kernels(pairs: DataFrame, key: str, rate: float, dtw_points: int = 600) -> DataFrame:
+    """key, dominant frequencies, coherence and normalised warping cost of each signal pair, all rows of it."""
+    from sensorloom.operators import alignment
+
+    rows = pairs.select(key, "pos", "x", "y")
+    warps = alignment.warping(alignment.thinned(rows, [key], alignment.POINTS), [key], dtw_points)
+    return dominant_frequencies(rows, [key], rate).join(mean_coherence(rows, [key]), key).join(warps.withColumnRenamed("warp", "dtw"), key)

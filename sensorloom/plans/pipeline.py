@@ -1,20 +1,22 @@
 """Fusion of two to four datasets per participant: rates, offsets, grid, resampling, mean, drift, score, report.
 
 Plans over the long layout keyed by (participant, dataset); a participant is a partition key, not a loop. Frames that
-several steps read are checkpointed. What reaches the driver is one report row per participant, if it is asked for.
+several steps read are stored as Parquet in the shared folder, and ``Fusion.close`` deletes them. What reaches the driver is one report row per participant, if it is asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom import registry
-from sensorloom.lineage import cut
+from sensorloom.lineage import cut, drop, mark
 from sensorloom.functions.columns import confidence, magnitude, seconds
-from sensorloom.operators import alignment, rates, resample, scoring
+from sensorloom.operators import agent, alignment, rates, resample, scoring
 from sensorloom.registry import HarmonizeError
 
 STREAM = ["participant_id", "dataset_id"]
@@ -23,14 +25,22 @@ KEY = ["participant_id"]
 
 @dataclass
 class Fusion:
-    """``fused``: participant_id, ts, channels. ``report``: a row per participant. ``trend``: lags of sliding windows."""
+    """``fused``: participant_id, ts, channels. ``report``: a row per participant. ``trend``: lags of sliding windows.
+    ``actions``: corrections that were tried and taken before, None without a policy."""
 
     fused: DataFrame
     report: DataFrame
     trend: DataFrame
     resampled: DataFrame
+    actions: DataFrame | None = None
+    _stored: tuple[SparkSession, int, int] | None = None
     _first: Row | None = None
 
+    def close(self) -> None:
+        """Deletes what the fusion has stored; its frames cannot be read after that."""
+        if self._stored:
+            drop(*self._stored)
+
     @property
     def first(self) -> Row:
         """The report of the least participant."""
@@ -78,50 +88,70 @@ def matched(slots: list[DataFrame]) -> DataFrame:
     return resample.first_known(frame, ["dataset_id", "ts"], channels, ["participant_id"]).withColumn("participant_id", F.lit("global"))
 
 
-def rates_of(frame: DataFrame, target_rate: float | None) -> tuple[DataFrame, DataFrame]:
-    """Rates by stream, and by participant the master rate, the spread flag and whether a requested rate was taken."""
-    each = rates.sampling_rate(frame, STREAM)
+def streams_of(frame: DataFrame) -> DataFrame:
+    """One row a stream, in one pass: rate, ends, duration, variance, and ``has_<channel>`` of every channel."""
+    channels = [c for c in frame.columns if c in registry.CHANNELS]
+    rows = rates.with_gap(frame, STREAM).groupBy(*STREAM).agg(
+        rates.rate_of_gaps().alias("rate_hz"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        scoring.variance_score(channels).alias("variance"), *((F.count(c) > 0).alias("has_" + c) for c in channels),
+    )
+    return rows.withColumn("duration_seconds", F.round(seconds(F.col("last_ts")) - seconds(F.col("first_ts")), 3))
+
+
+def master_of(streams: DataFrame, target_rate: float | None) -> DataFrame:
+    """By participant the master rate, the spread flag and whether a requested rate was taken."""
     positive = F.when(F.col("rate_hz") > 0, F.col("rate_hz"))
-    found = each.groupBy(*KEY).agg(F.coalesce(F.min(positive), F.lit(10.0)).alias("auto"), F.min(positive).alias("least"), F.max(positive).alias("most"), F.stddev_pop("rate_hz").alias("spread"))
+    found = streams.groupBy(*KEY).agg(F.coalesce(F.min(positive), F.lit(10.0)).alias("auto"), F.min(positive).alias("least"), F.max(positive).alias("most"), F.stddev_pop("rate_hz").alias("spread"))
     chosen = found.withColumn("rate_hz", scoring.gated_rate(target_rate, F.col("least"), F.col("most"), F.col("auto")))
     applied = F.lit(target_rate is not None) & (F.col("rate_hz") == F.lit(target_rate))
-    return each, chosen.select(*KEY, "rate_hz", (F.col("spread") > F.greatest(F.lit(0.05), 0.15 * F.col("rate_hz"))).alias("rate_drift"), F.coalesce(applied, F.lit(False)).alias("requested_applied"))
+    return chosen.select(*KEY, "rate_hz", (F.col("spread") > F.greatest(F.lit(0.05), 0.15 * F.col("rate_hz"))).alias("rate_drift"), F.coalesce(applied, F.lit(False)).alias("requested_applied"))
 
 
-def grid_of(spans: DataFrame) -> DataFrame:
-    """The common times of each participant, a step of whole milliseconds apart."""
-    step = F.greatest(F.lit(1), F.floor(1000 / F.col("rate_hz"))) * 1000
-    points = F.sequence(F.unix_micros("overlap_start"), F.unix_micros("overlap_end"), step.cast("long"))
-    return spans.select(*KEY, F.explode(points).alias("_us")).select(*KEY, F.timestamp_micros("_us").alias("ts"))
+def together(frames: list[DataFrame]) -> DataFrame:
+    """Frames of at most one row a participant side by side: one shuffle for all of them, not one join each."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.groupBy(*KEY).agg(*(F.any_value(c, F.lit(True)).alias(c) for c in rows.columns if c not in KEY))
 
 
-def fuse(slots: list[DataFrame], target_rate: float | None = None, task: str | None = None) -> Fusion:
+def fuse(slots: list[DataFrame], target_rate: float | None = None, task: str | None = None, policy: agent.Policy | None = agent.Policy()) -> Fusion:
     """``slots``: frames with participant_id, dataset_id, ts and channels, one per dataset; the base is the least dataset_id.
 
     ``target_rate``: taken as the common rate if it is sane for a participant's streams. ``task``: sets the weights of
-    the score; else each participant's inferred task does. Raises if no participant's datasets overlap in time.
+    the score; else each participant's inferred task does. ``policy``: of the corrections before fusion, none for None.
+    Raises if no participant's datasets overlap in time.
     """
     if not 2 <= len(slots) <= 4:
         raise HarmonizeError("invalid_dataset_count", f"{len(slots)} datasets, 2 to 4 can be fused")
-    frame = cut(matched(slots).withColumn("ts", F.col("ts").cast("timestamp")))
+    began = mark()
+    frame = cut(matched(slots).withColumn("ts", F.col("ts").cast("timestamp")), "fuse-rows")
+    corrected = agent.correct(frame, policy) if policy else None
+    frame = corrected.frame if corrected else frame
     channels = [c for c in frame.columns if c in registry.CHANNELS]
-    each, master = map(cut, rates_of(frame, target_rate))
-    moves = cut(alignment.offsets(frame, master))
-    aligned = alignment.shifted(frame, moves)
-    ends = cut(rates.durations(aligned, STREAM))
-    spans = ends.groupBy(*KEY).agg(F.max("start_ts").alias("overlap_start"), F.min("end_ts").alias("overlap_end"), F.count(F.lit(1)).alias("n"))
-    spans = cut(spans.where((F.col("n") > 1) & (F.col("overlap_start") <= F.col("overlap_end"))).join(master, KEY))
+    streams = cut(streams_of(frame), "fuse-streams")
+    master = master_of(streams, target_rate)
+    moves = alignment.offsets(frame, master).select(*STREAM, "offset_seconds")
+    # A stream moves as a whole, and so do its ends.
+    shift = F.round(F.coalesce("offset_seconds", F.lit(0.0)) * 1e6).cast("long")
+    moved = lambda c: F.timestamp_micros(F.unix_micros(c) + shift)
+    streams = cut(streams.join(moves, STREAM, "left").withColumns({"start_ts": moved("first_ts"), "end_ts": moved("last_ts")}), "fuse-streams")
+    spans = streams.groupBy(*KEY).agg(F.max("start_ts").alias("overlap_start"), F.min("end_ts").alias("overlap_end"), F.count(F.lit(1)).alias("n"))
+    spans = cut(spans.where((F.col("n") > 1) & (F.col("overlap_start") <= F.col("overlap_end"))).join(master, KEY), "fuse-spans")
     if spans.isEmpty():
         raise HarmonizeError("no_time_overlap", "the datasets have no time in common")
-    points = grid_of(spans).join(frame.select(*STREAM).distinct(), KEY)
-    rows = resample.on_grid(points, aligned.select(*STREAM, "ts", *channels), STREAM)
-    rows = rows.withColumns({c: resample.interpolated(c, STREAM) if registry.INTERPOLATION[c] == "linear" else resample.forward_filled(c, STREAM) for c in channels})
-    rows = cut(rows)
+    step = F.greatest(F.lit(1), F.floor(1000 / F.col("rate_hz"))) * 1000
+    points = resample.blocked_grid(spans.select(*KEY, "overlap_start", "overlap_end", "rate_hz"), KEY, step).join(streams.select(*STREAM), KEY)
+    aligned = alignment.shifted(frame.select(*STREAM, "ts", *channels), streams)
+    rows = resample.on_grid(points, aligned, STREAM)
+    rows = cut(resample.filled(rows, STREAM, {c: registry.INTERPOLATION[c] for c in channels}), "fuse-rows")
+    has = streams.select(*STREAM, *(c for c in streams.columns if c.startswith("has_")))
     fused = resample.fused(rows, KEY, channels)
-    has, has_any = cut(scoring.present(frame, STREAM)), cut(scoring.present(frame, KEY))
-    trend = cut(lags(rows, has, master))
-    report = cut(reported(frame, rows, fused, has, has_any, each, ends, master, spans, moves, trend, task))
-    return Fusion(fused, report, trend, rows)
+    trend = cut(lags(rows, has, master), "fuse-trend")
+    done = reported(rows, fused, has, streams, spans, trend, task)
+    if corrected:
+        told = corrected.summary.select(*KEY, F.struct("used", "iterations", "initial_score", "final_score", "net_improvement", "confidence", "stop_reason").alias("corrections"))
+        said = F.when(F.col("corrections.used"), F.array(F.format_string("Corrections applied %d action(s).", "corrections.iterations"))).otherwise(F.array().cast("array<string>"))
+        done = done.join(told, KEY, "left").withColumn("warnings", F.concat("warnings", F.coalesce(said, F.array().cast("array<string>"))))
+    return Fusion(fused, cut(done, "fuse-report"), trend, rows, corrected.actions if corrected else None, (frame.sparkSession, began, mark()))
 
 
 def lags(rows: DataFrame, has: DataFrame, master: DataFrame) -> DataFrame:
@@ -140,34 +170,36 @@ def lags(rows: DataFrame, has: DataFrame, master: DataFrame) -> DataFrame:
     return alignment.window_lags(pairs.join(master.select(*KEY, "rate_hz"), KEY), STREAM)
 
 
-def context(frame: DataFrame, each: DataFrame, has_any: DataFrame) -> DataFrame:
+def context(streams: DataFrame) -> DataFrame:
     """What task inference asks for: means over a participant's datasets of rate, duration and variance."""
-    channels = [c for c in frame.columns if c in registry.CHANNELS]
-    size = rates.durations(frame, STREAM).select(*STREAM, "duration_seconds").join(frame.groupBy(*STREAM).agg(scoring.variance_score(channels).alias("variance")), STREAM)
-    means = each.join(size, STREAM).groupBy(*KEY).agg(F.avg("rate_hz").alias("rate_hz"), F.avg("duration_seconds").alias("duration_seconds"), F.avg("variance").alias("variance"))
-    any_of = lambda *modalities: F.lit(False) if not (used := [c for m in modalities for c in registry.MODALITIES[m][0] if c in channels]) else F.greatest(*(F.col("has_" + c) for c in used), F.lit(False))
+    there = {c.removeprefix("has_") for c in streams.columns if c.startswith("has_")}
     flags = {"acc": ["accelerometer"], "gyro": ["gyroscope"], "gps": ["gps"], "hr": ["heart_rate"], "env": ["barometer", "light", "proximity"]}
-    return means.join(has_any, KEY).select(*KEY, "rate_hz", "duration_seconds", "variance", *(any_of(*m).alias("has_" + k) for k, m in flags.items()))
+    used = {k: [c for m in modalities for c in registry.MODALITIES[m][0] if c in there] for k, modalities in flags.items()}
+    any_of = lambda names: F.greatest(*(F.bool_or("has_" + c) for c in names), F.lit(False)) if names else F.lit(False)
+    return streams.groupBy(*KEY).agg(F.avg("rate_hz").alias("rate_hz"), F.avg("duration_seconds").alias("duration_seconds"), F.avg("variance").alias("variance"), *(any_of(names).alias("has_" + k) for k, names in used.items()))
 
 
-def reported(frame, rows, fused, has, has_any, each, ends, master, spans, moves, trend, task: str | None) -> DataFrame:
+def reported(rows, fused, has, streams, spans, trend, task: str | None) -> DataFrame:
     """One row per participant: rates, offsets, integrity, components, drift, score, confidence, warnings."""
-    pairs = scoring.pair_signals(rows, has, KEY).join(master.select(*KEY, "rate_hz"), KEY)
+    flags = [c for c in has.columns if c.startswith("has_")]
+    has_any = has.groupBy(*KEY).agg(*(F.bool_or(c).alias(c) for c in flags))
     n_modalities = scoring.integrity(fused, has_any, KEY)
-    one_sensor = n_modalities.where("n_modalities <= 1").select(*KEY)
-    pairs = pairs.where("sensor = 'acc'").unionByName(pairs.where("sensor <> 'acc'").join(one_sensor, KEY, "left_anti"))
-    drift = alignment.drift_summary(trend, KEY)
-    axes = [c for c in scoring.SENSORS["acc"] if "has_" + c in has.columns]
-    base_acc = has.groupBy(*KEY).agg(F.min_by(F.expr(" and ".join("has_" + c for c in axes)) if len(axes) == 3 else F.lit(False), "dataset_id").alias("base_acc"))
-    sizes = spans.select(*KEY, "overlap_start", "overlap_end", (F.col("overlap_start") == F.col("overlap_end")).alias("short"))
-    tasks = scoring.with_task(context(frame, each, has_any)).select(*KEY, "task", "task_confidence", "task_profile")
-    datasets = each.join(ends, STREAM).join(moves.select(*STREAM, "offset_seconds"), STREAM, "left").join(master.select(*KEY, F.col("rate_hz").alias("master_rate_hz")), KEY)
-    datasets = datasets.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(  # at most four
+    pairs = scoring.pair_signals(rows, has, KEY).join(spans.select(*KEY, "rate_hz"), KEY)
+    # With one modality only acceleration is compared: rotation counts where its participant has any other.
+    sensors = {m: [f"has_{c}" for c in names if f"has_{c}" in flags] for m, (names, _, _) in registry.MODALITIES.items()}
+    kinds = reduce(add, [F.greatest(*(F.bool_or(c).cast("int") for c in names), F.lit(0)) for names in sensors.values() if names], F.lit(0))
+    several = has.groupBy(*KEY).agg(kinds.alias("kinds")).where("kinds > 1").select(*KEY, F.lit("gyro").alias("sensor"))
+    allowed = several.unionByName(has.select(*KEY, F.lit("acc").alias("sensor")).distinct())
+    pairs = pairs.join(allowed, [*KEY, "sensor"], "left_semi")
+    axes = [c for c in scoring.SENSORS["acc"] if "has_" + c in flags]
+    base_acc = F.min_by(F.expr(" and ".join("has_" + c for c in axes)) if len(axes) == 3 else F.lit(False), "dataset_id")
+    sizes = spans.select(*KEY, "overlap_start", "overlap_end", (F.col("overlap_start") == F.col("overlap_end")).alias("short"), "rate_hz", "rate_drift", "requested_applied")
+    tasks = scoring.with_task(context(streams)).select(*KEY, "task", "task_confidence", "task_profile")
+    datasets = streams.join(spans.select(*KEY, F.col("rate_hz").alias("master_rate_hz")), KEY).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(  # at most four
         "dataset_id", F.col("rate_hz").alias("sampling_rate_hz"), "duration_seconds", "start_ts", "end_ts", F.round(F.coalesce("offset_seconds", F.lit(0.0)), 4).alias("offset_seconds"),
         scoring.resampling_strategy(F.col("rate_hz"), F.col("master_rate_hz")).alias("resampling_strategy"),
-    ))).alias("datasets"))
-    out = sizes.join(master, KEY).join(datasets, KEY).join(n_modalities, KEY).join(base_acc, KEY).join(tasks, KEY)
-    out = out.join(scoring.components(pairs, KEY), KEY, "left").join(drift, KEY, "left").join(scoring.divergence(rows, KEY), KEY, "left")
+    ))).alias("datasets"), base_acc.alias("base_acc"))
+    out = together([sizes, datasets, n_modalities, tasks, scoring.components(pairs, KEY), alignment.drift_summary(trend, KEY).drop("strength"), scoring.divergence(rows, KEY)]).where("overlap_start is not null")
     # Stability where drift cannot be told.
     unknown = F.when(F.col("short"), 0.7).when(~F.col("base_acc"), 0.6).otherwise(0.7)
     out = out.withColumns({
