@@ -45,29 +45,33 @@ def wasserstein(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cross_correlation(pairs: DataFrame, keys: list[str], block: int = 1 << 14) -> DataFrame:
-    """Peak of the mean-centred signed cross-correlation over all lags of the whole signals, and its lag.
+    """keys, n, lag, peak: of the mean-centred signed cross-correlation over all lags of the whole signals.
 
     Signals are cut into blocks of positions; each pair of blocks gives its sums per lag by FFT, which are added up.
     """
-    means = pairs.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    rows = pairs.join(means, keys).select(*keys, "pos", (F.col("x") - F.col("mx")).alias("xc"), (F.col("y") - F.col("my")).alias("yc"))
+    root = lambda c: F.sqrt(F.var_pop(c) * F.count(F.lit(1)))
+    stats = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (root("x") * root("y")).alias("norm"))
     place = F.floor(F.col("pos") / block).cast("long")
-    one = lambda c, k, v: rows.groupBy(*keys, place.alias(k)).agg(F.collect_list(F.struct((F.col("pos") - place * block).alias("at"), F.col(c).alias("v"))).alias(v))
-    both = one("xc", "i", "a").join(one("yc", "j", "b"), keys).select(*keys, ((F.col("i") - F.col("j")) * block).alias("shift"), "a.at", F.col("a.v").alias("x"), F.col("b.at").alias("bt"), F.col("b.v").alias("y"))
-
-    def spread(at: list[int], values: list[float]) -> np.ndarray:
-        """Spectra of the values and of their number at each place of a block."""
-        out = np.zeros((2, 2 * block))
-        np.add.at(out, (0, at), np.nan_to_num(np.array(values, float)))
-        np.add.at(out, (1, at), [v is not None for v in values])
+    rows = F.collect_list(F.struct((F.col("pos") - place * block).cast("long").alias("at"), F.coalesce("x", F.lit(float("nan"))).alias("x"), F.coalesce("y", F.lit(float("nan"))).alias("y")))
+    blocks = pairs.groupBy(*keys, place.alias("i")).agg(rows.alias("v")).join(stats.select(*keys, "mx", "my"), keys)
+    left = blocks.select(*keys, "i", "mx", "my", F.col("v.at").alias("at"), F.col("v.x").alias("x"))
+    right = blocks.select(*keys, F.col("i").alias("j"), F.col("v.at").alias("bt"), F.col("v.y").alias("y"))
+    both = left.join(right, keys).withColumn("shift", (F.col("i") - F.col("j")) * block).drop("i", "j")
+
+    def spread(at: np.ndarray, values: np.ndarray, mean: float) -> np.ndarray:
+        """Spectra of the centred values and of their number at each place of a block."""
+        out, some = np.zeros((2, 2 * block)), ~np.isnan(values)
+        np.add.at(out, (0, at[some]), values[some] - mean)
+        np.add.at(out, (1, at), 1)
         return np.fft.rfft(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                at, x, bt, y = (row.column(c)[0].as_py() for c in ("at", "x", "bt", "y"))
-                sums, counts = np.fft.irfft(spread(at, x) * spread(bt, y).conj(), 2 * block)
+                at, x, bt, y = (row.column(c).flatten().to_numpy() for c in ("at", "x", "bt", "y"))
+                mx, my = (row.column(c)[0].as_py() or 0.0 for c in ("mx", "my"))
+                sums, counts = np.fft.irfft(spread(at, x, mx) * spread(bt, y, my).conj(), 2 * block)
                 some = np.flatnonzero(counts > 0.5)
                 lags = row.column("shift")[0].as_py() + np.where(some < block, some, some - 2 * block)
                 columns = [pa.repeat(row.column(c)[0], len(some)) for c in keys]
@@ -75,9 +79,8 @@ def cross_correlation(pairs: DataFrame, keys: list[str], block: int = 1 << 14) -
 
     kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keys)
     sums = both.mapInArrow(run, f"{kinds}, lag long, corr double").groupBy(*keys, "lag").agg(F.sum("corr").alias("corr"))
-    norms = rows.groupBy(*keys).agg((F.sqrt(F.sum(F.col("xc") * F.col("xc"))) * F.sqrt(F.sum(F.col("yc") * F.col("yc")))).alias("norm"))
     best = sums.groupBy(*keys).agg(F.max(F.struct((F.round("corr", 9) + 0.0).alias("corr"), (-F.col("lag")).alias("minus"))).alias("m"))
-    return best.join(norms, keys).select(*keys, (-F.col("m.minus")).alias("lag"), (F.col("m.corr") / (F.col("norm") + 1e-9)).alias("peak"))
+    return best.join(stats, keys).select(*keys, "n", (-F.col("m.minus")).alias("lag"), (F.col("m.corr") / (F.col("norm") + 1e-9)).alias("peak"))
 
 
 def snr(signal: DataFrame, keys: list[str], value: str = "x", window: int = 31) -> DataFrame:

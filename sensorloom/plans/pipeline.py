@@ -163,10 +163,9 @@ def lags(rows: DataFrame, has: DataFrame, master: DataFrame) -> DataFrame:
     whole = has.where(" and ".join("has_" + c for c in axes)).select(*STREAM)
     m = magnitude(*(F.col(a) for a in axes), nulls="skip")
     signal = alignment.numbered(rows.join(whole, STREAM, "left_semi").select(*STREAM, "ts", m.alias("m")), STREAM)
-    # Without acceleration in the base there is nothing to compare with.
-    base = rows.groupBy(*KEY).agg(F.min("dataset_id").alias("dataset_id")).join(whole, STREAM, "left_semi").select(*KEY)
-    long = signal.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("n")).where("n >= 8").select(*STREAM)
-    pairs = alignment.star_pairs(signal.join(base, KEY, "left_semi").join(long, STREAM, "left_semi"), KEY)
+    # Without acceleration in a participant's first dataset there is nothing to compare with.
+    base = has.groupBy(*KEY).agg(F.min("dataset_id").alias("_base"))
+    pairs = alignment.star_pairs(signal, KEY, base=base)
     return alignment.window_lags(pairs.join(master.select(*KEY, "rate_hz"), KEY), STREAM)
 
 
