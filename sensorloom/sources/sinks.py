@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "job_id string, status string, created_at timestamp, chosen_master_rate_hz double, hqscore double, modalities array<string>, sampling_rates_hz array<double>, duration_seconds double, task_type string, drift_classification string"
-LEARNING = "chosen_master_rate_hz double, hqscore double, modalities array<string>, sampling_rates_hz array<double>, duration_seconds double, task_type string, drift_classification string"
+#: The ledger of jobs; ``learning`` is the JSON text of ``LEARNING``.
+JOBS = {"job_id": "string", "status": "string", "created_at": "timestamp", "learning": "string"}
+LEARNING = (
+    "chosen_master_rate_hz double, hqscore double, modalities array<string>, sampling_rates_hz array<double>, duration_seconds double, task_type string, "
+    "drift_classification string, drift_flag boolean, user_override_flag boolean"
+)
 
 
 def write_rows(df: DataFrame, path: str, kind: str = "csv", by: str | None = "participant_id") -> None:
@@ -31,14 +35,14 @@ def learning_record(report: DataFrame, job_id: str) -> DataFrame:
         F.avg("master_rate_hz").alias("chosen_master_rate_hz"), F.avg("hqscore").alias("hqscore"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("datasets", lambda d: d["sampling_rate_hz"]))))).alias("sampling_rates_hz"),
         F.avg(F.expr("aggregate(filter(datasets, d -> d.duration_seconds > 0), double(0), (a, d) -> a + d.duration_seconds) / nullif(size(filter(datasets, d -> d.duration_seconds > 0)), 0)")).alias("duration_seconds"),
-        F.mode("task").alias("task_type"), F.max("drift_type").alias("drift_classification"),
+        F.mode("task").alias("task_type"), F.max("drift_type").alias("drift_classification"), F.bool_or("drift_detected").alias("drift_flag"), F.bool_or("requested_applied").alias("user_override_flag"),
     )
     return found.select(F.lit(job_id).alias("job_id"), F.lit("completed").alias("status"), F.current_timestamp().alias("created_at"), F.to_json(F.struct("*")).alias("learning"))
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Adds jobs (job_id, status, created_at, learning) to the ledger."""
-    rows.write.mode("append").parquet(path)
+    """Adds jobs to the ledger; columns that are not of ``JOBS`` are left out, missing ones are null."""
+    rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in JOBS.items())).write.mode("append").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
