@@ -138,7 +138,7 @@ def segments(pairs: DataFrame, keys: list[str], size: int, overlap: bool = True)
 
 
 def spectra(pairs: DataFrame, keys: list[str], size: int, periodic: bool = True) -> DataFrame:
-    """keys, k (frequency number), n, px, py, re, im: power and cross spectra by Welch's method, means over the segments.
+    """keys, bin (number of the frequency), n, px, py, re, im: power and cross spectra by Welch's method, means over the segments.
 
     ``periodic``: kind of the Hann taper. A task holds a segment; sums over segments combine on the map side.
     """
@@ -149,14 +149,14 @@ def spectra(pairs: DataFrame, keys: list[str], size: int, periodic: bool = True)
         taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if periodic else np.hanning(n)
         fx, fy = (np.fft.rfft((rows[c].to_numpy(float) - rows[c].mean()) * taper) for c in "xy")
         cross = fx * fy.conj()
-        out = pd.DataFrame({"k": np.arange(len(fx)), "n": n, "px": abs(fx) ** 2, "py": abs(fy) ** 2, "re": cross.real, "im": cross.imag})
+        out = pd.DataFrame({"bin": np.arange(len(fx)), "n": n, "px": abs(fx) ** 2, "py": abs(fy) ** 2, "re": cross.real, "im": cross.imag})
         for c in reversed(keys):
             out.insert(0, c, rows[c].iloc[0])
         return out
 
     kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keys)
-    each = segments(pairs.select(*keys, "pos", "x", "y"), keys, size).groupBy(*keys, "segment").applyInPandas(run, f"{kinds}, k long, n long, px double, py double, re double, im double")
-    return each.groupBy(*keys, "k").agg(F.max("n").alias("n"), *(F.avg(c).alias(c) for c in ("px", "py", "re", "im")))
+    each = segments(pairs.select(*keys, "pos", "x", "y"), keys, size).groupBy(*keys, "segment").applyInPandas(run, f"{kinds}, bin long, n long, px double, py double, re double, im double")
+    return each.groupBy(*keys, "bin").agg(F.max("n").alias("n"), *(F.avg(c).alias(c) for c in ("px", "py", "re", "im")))
 
 
 def mean_coherence(pairs: DataFrame, keys: list[str], segment: int = 256) -> DataFrame:
@@ -167,9 +167,9 @@ def mean_coherence(pairs: DataFrame, keys: list[str], segment: int = 256) -> Dat
 
 def dominant_frequencies(pairs: DataFrame, keys: list[str], rate: float, segment: int = 2000) -> DataFrame:
     """keys, freq_x, freq_y: where the mean power over segments is greatest, the mean left out; of equals the least."""
-    top = lambda c: F.max(F.when(F.col("k") > 0, F.struct(F.col(c).alias("p"), (-F.col("k")).alias("k"))))
-    best = spectra(pairs, keys, segment, periodic=False).groupBy(*keys).agg(top("px").alias("x"), top("py").alias("y"), F.max("n").alias("n"))
-    return best.select(*keys, *(F.coalesce(-F.col(f"{c}.k") * rate / F.col("n"), F.lit(0.0)).alias(f"freq_{c}") for c in "xy"))
+    top = lambda c: F.max(F.when(F.col("bin") > 0, F.struct(F.col(c).alias("p"), (-F.col("bin")).alias("minus"))))
+    best = spectra(pairs, keys, segment, periodic=False).groupBy(*keys).agg(top("px").alias("_x"), top("py").alias("_y"), F.max("n").alias("n"))
+    return best.select(*keys, *(F.coalesce(-F.col(f"_{c}.minus") * rate / F.col("n"), F.lit(0.0)).alias(f"freq_{c}") for c in "xy"))
 
 
 def pair_kernels(pairs: DataFrame, key: str, rate: float, dtw_points: int = 600) -> DataFrame:

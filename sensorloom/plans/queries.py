@@ -33,7 +33,7 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 EVENTS = "ev as (select user_id participant_id, event_type dataset_id, ts, value, event_id from events)"
 IMU = "imu as (select vec_id pos, label, " + ", ".join(f"embedding[{i + 1}]::double {s}_{a}{d}" for i, (d, s, a) in enumerate((d, s, a) for d in (1, 2) for s in ("acc", "gyro") for a in "xyz")) + " from embeddings)"
-PAIR = IMU + ", pair as (select pos, sqrt(acc_x1*acc_x1+acc_y1*acc_y1+acc_z1*acc_z1) x, sqrt(acc_x2*acc_x2+acc_y2*acc_y2+acc_z2*acc_z2) y from imu where pos < 2000)"
+PAIR = IMU + ", pair as (select pos, sqrt(acc_x1*acc_x1+acc_y1*acc_y1+acc_z1*acc_z1) x, sqrt(acc_x2*acc_x2+acc_y2*acc_y2+acc_z2*acc_z2) y from imu)"
 HOURLY = EVENTS + ", h as (select dataset_id, time_bucket(interval 1 hour, ts) ts, avg(value) value from ev where dataset_id in ('click','purchase') group by all)"
 GRID = HOURLY + ", o as (select max(lo) lo, min(hi) hi from (select min(ts) lo, max(ts) hi from h group by dataset_id)), g as (select unnest(generate_series(lo, hi, interval 1 hour)) ts from o), d as (select distinct dataset_id from h), r as (select d.dataset_id, g.ts, h.value from g cross join d left join h on h.ts = g.ts and h.dataset_id = d.dataset_id)"
 LINEAR = GRID + """, k as (select *, last_value(case when value is not null then struct_pack(t := epoch_us(ts)/1e6, v := value) end ignore nulls) over w1 p,
@@ -190,7 +190,7 @@ def magnitude_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return magnitude_overlay_whole(spark, sf_dir).where("pos < 1000")
 
 
-@query()
+@query(f"with {IMU} select pos, " + ", ".join(f"round(sqrt({s}_x{d}*{s}_x{d}+{s}_y{d}*{s}_y{d}+{s}_z{d}*{s}_z{d}), 6) {s}_dataset{d}" for s in ("acc", "gyro") for d in (1, 2)) + " from imu")
 def magnitude_overlay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lambda s, d: F.round(C.magnitude(*(F.col(f"{s}_{a}{d}") for a in "xyz")), 6).alias(f"{s}_dataset{d}")
     return S.imu(spark, sf_dir).select("pos", *(m(s, d) for s in ("acc", "gyro") for d in (1, 2)))
@@ -241,15 +241,9 @@ def snr_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.round("a", 6).alias("snr_x"), F.round("b", 6).alias("snr_y"), F.round(1 - F.least(F.lit(1.0), gap), 6).alias("consistency"))
 
 
-@query(f"with {PAIR}, c as (select pos, x - avg(x) over () x, y - avg(y) over () y from pair where pos < 300), s as (select a.pos - b.pos lag, round(sum(a.x * b.y), 9) corr from c a, c b group by 1), t as (select lag, corr, row_number() over (order by corr desc, lag) rn from s) select lag, round(corr / ((select sqrt(sum(x*x)) * sqrt(sum(y*y)) from c) + 1e-9), 6) peak, greatest(-5.0, least(5.0, lag / 20.0)) offset_seconds from t where rn = 1")
-def xcorr_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 300 rows, as its SQL has it; the whole signals are those of ``xcorr_offset_whole``."""
-    return peak_offset(S.pair(spark, sf_dir).where("pos < 300"))
-
-
-@query()
+@query(f"with {PAIR}, c as (select pos, x - avg(x) over () x, y - avg(y) over () y from pair), s as (select a.pos - b.pos lag, round(sum(a.x * b.y), 9) corr from c a, c b group by 1), t as (select lag, corr, row_number() over (order by corr desc, lag) rn from s) select lag, round(corr / ((select sqrt(sum(x*x)) * sqrt(sum(y*y)) from c) + 1e-9), 6) peak, greatest(-5.0, least(5.0, lag / 20.0)) offset_seconds from t where rn = 1")
 def xcorr_offset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lag of the greatest correlation over the whole length; held against numpy in the tests."""
+    """The lag of the greatest correlation over the whole length."""
     return peak_offset(S.pair(spark, sf_dir))
 
 
