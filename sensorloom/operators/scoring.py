@@ -173,12 +173,12 @@ def resampling_strategy(rate: Column, master: Column) -> Column:
     return F.concat(kind, F.lit(" + modality interpolation"))
 
 
-def gated_rate(requested: float | None, least: Column, most: Column, master: Column) -> Column:
-    """The requested rate if it is sane against those found, else the master rate."""
+def gated_rate(requested: float | None | Column, least: Column, most: Column, master: Column) -> Column:
+    """The requested rate if it is sane against those found, else the master rate; null: none is requested."""
     if requested is None:
         return master
-    sane = F.lit(requested > 0) & F.lit(requested).between(F.greatest(F.lit(0.5), 0.5 * least), 2 * most)
-    return F.when(sane, F.lit(float(requested))).otherwise(master)
+    rate = requested if isinstance(requested, Column) else F.lit(float(requested))
+    return F.when((rate > 0) & rate.between(F.greatest(F.lit(0.5), 0.5 * least), 2 * most), rate).otherwise(master)
 
 
 def task_scores() -> dict[str, Column]:

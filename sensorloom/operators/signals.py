@@ -44,8 +44,8 @@ def wasserstein(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("similarity", clip(F.exp(-F.col("distance") / (3 * (F.col("sigma") + 1e-6)))))
 
 
-def cross_correlation(pairs: DataFrame, keys: list[str], block: int = 1 << 14) -> DataFrame:
-    """keys, n, lag, peak: of the mean-centred signed cross-correlation over all lags of the whole signals.
+def cross_correlation(pairs: DataFrame, keys: list[str], block: int = 1 << 14, absolute: bool = False) -> DataFrame:
+    """keys, n, lag, peak: of the mean-centred signed (or ``absolute``) cross-correlation over all lags of the whole signals.
 
     Signals are cut into blocks of positions; each pair of blocks gives its sums per lag by FFT, which are added up.
     """
@@ -79,7 +79,7 @@ def cross_correlation(pairs: DataFrame, keys: list[str], block: int = 1 << 14) -
 
     kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keys)
     sums = both.mapInArrow(run, f"{kinds}, lag long, corr double").groupBy(*keys, "lag").agg(F.sum("corr").alias("corr"))
-    best = sums.groupBy(*keys).agg(F.max(F.struct((F.round("corr", 9) + 0.0).alias("corr"), (-F.col("lag")).alias("minus"))).alias("m"))
+    best = sums.groupBy(*keys).agg(F.max(F.struct((F.round(F.abs("corr") if absolute else "corr", 9) + 0.0).alias("corr"), (-F.col("lag")).alias("minus"))).alias("m"))
     return best.join(stats, keys).select(*keys, "n", (-F.col("m.minus")).alias("lag"), (F.col("m.corr") / (F.col("norm") + 1e-9)).alias("peak"))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from sensorloom import registry
 from sensorloom.functions import columns as C
 from sensorloom.operators import alignment, benchmark, rates, scoring, signals
+from sensorloom.plans import benchmark as bench_plans
 from sensorloom.plans import pipeline
 from sensorloom.plans.queries import EVENTS, IMU, query, rounded
-from sensorloom.sources import sinks
+from sensorloom.sources import scenarios, sinks
 from sensorloom.sources import tables as S
 
 SIGNAL = IMU + ", s as (select label, row_number() over (partition by label order by pos) - 1 pos, sqrt(acc_x1*acc_x1+acc_y1*acc_y1+acc_z1*acc_z1) x, sqrt(acc_x2*acc_x2+acc_y2*acc_y2+acc_z2*acc_z2) y from imu)"
@@ -185,3 +186,14 @@ def fuse_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = lambda d: rows.select(F.col("label").cast("string").alias("participant_id"), F.lit(f"dataset{d}").alias("dataset_id"), F.timestamp_millis(F.col("pos") * 50).alias("ts"), *(F.col(c + str(d)).alias(c) for c in names))
     report = pipeline.fuse([slot(1), slot(2)]).report
     return report.select("participant_id", "master_rate_hz", "overlap_seconds", "drift_detected", "drift_type", F.round("stability", 4).alias("stability"), F.round("missingness", 6).alias("missingness"), F.round("coverage", 6).alias("coverage"), "divergence", "task", "profile", "hqscore", "confidence")
+
+
+@query()
+def scenario_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark scores of the two datasets of every label, a scenario each; held against a direct computation in the tests."""
+    rows = alignment.numbered(S.imu(spark, sf_dir), ["label"], "pos")
+    name = F.col("label").cast("string")
+    one = lambda d: rows.select(name.alias("participant_id"), F.lit(f"dataset{d}").alias("dataset_id"), F.timestamp_millis(F.col("pos") * 50).alias("ts"), *(F.col(f"acc_{a}{d}").alias(f"acc_{a}") for a in "xyz"))
+    told = F.from_json(F.lit("{}"), scenarios.METADATA)
+    truth = rows.select(name.alias("scenario")).distinct().select("scenario", told.alias("_m")).select("scenario", "_m.*")
+    return bench_plans.evaluate(scenarios.Scenarios(one(1).unionByName(one(2)), truth))

@@ -98,13 +98,17 @@ def streams_of(frame: DataFrame) -> DataFrame:
     return rows.withColumn("duration_seconds", F.round(seconds(F.col("last_ts")) - seconds(F.col("first_ts")), 3))
 
 
-def master_of(streams: DataFrame, target_rate: float | None) -> DataFrame:
+def master_of(streams: DataFrame, target_rate: float | DataFrame | None) -> DataFrame:
     """By participant the master rate, the spread flag and whether a requested rate was taken."""
     positive = F.when(F.col("rate_hz") > 0, F.col("rate_hz"))
     found = streams.groupBy(*KEY).agg(F.coalesce(F.min(positive), F.lit(10.0)).alias("auto"), F.min(positive).alias("least"), F.max(positive).alias("most"), F.stddev_pop("rate_hz").alias("spread"))
-    chosen = found.withColumn("rate_hz", scoring.gated_rate(target_rate, F.col("least"), F.col("most"), F.col("auto")))
-    applied = F.lit(target_rate is not None) & (F.col("rate_hz") == F.lit(target_rate))
-    return chosen.select(*KEY, "rate_hz", (F.col("spread") > F.greatest(F.lit(0.05), 0.15 * F.col("rate_hz"))).alias("rate_drift"), F.coalesce(applied, F.lit(False)).alias("requested_applied"))
+    if isinstance(target_rate, DataFrame):
+        found = found.join(target_rate.select(*KEY, "target_rate_hz"), KEY, "left")
+    else:
+        found = found.withColumn("target_rate_hz", F.lit(target_rate).cast("double"))
+    chosen = found.withColumn("rate_hz", scoring.gated_rate(F.col("target_rate_hz"), F.col("least"), F.col("most"), F.col("auto")))
+    applied = F.coalesce(F.col("rate_hz") == F.col("target_rate_hz"), F.lit(False))
+    return chosen.select(*KEY, "rate_hz", (F.col("spread") > F.greatest(F.lit(0.05), 0.15 * F.col("rate_hz"))).alias("rate_drift"), applied.alias("requested_applied"))
 
 
 def together(frames: list[DataFrame]) -> DataFrame:
@@ -113,10 +117,11 @@ def together(frames: list[DataFrame]) -> DataFrame:
     return rows.groupBy(*KEY).agg(*(F.any_value(c, F.lit(True)).alias(c) for c in rows.columns if c not in KEY))
 
 
-def fuse(slots: list[DataFrame], target_rate: float | None = None, task: str | None = None, policy: agent.Policy | None = agent.Policy()) -> Fusion:
+def fuse(slots: list[DataFrame], target_rate: float | DataFrame | None = None, task: str | None = None, policy: agent.Policy | None = agent.Policy()) -> Fusion:
     """``slots``: frames with participant_id, dataset_id, ts and channels, one per dataset; the base is the least dataset_id.
 
-    ``target_rate``: taken as the common rate if it is sane for a participant's streams. ``task``: sets the weights of
+    ``target_rate``: taken as the common rate if it is sane for a participant's streams; a frame (participant_id,
+    target_rate_hz) has one for each. ``task``: sets the weights of
     the score; else each participant's inferred task does. ``policy``: of the corrections before fusion, none for None.
     Raises if no participant's datasets overlap in time.
     """
