@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sensorloom import registry
 from sensorloom.functions.columns import clip, confidence, magnitude
-from sensorloom.operators import alignment, signals
+from sensorloom.operators import alignment, rates, signals
 
 SENSORS = {"acc": ("acc_x", "acc_y", "acc_z"), "gyro": ("gyro_x", "gyro_y", "gyro_z")}
 TOTAL_WEIGHT = sum(w for _, w, _ in registry.MODALITIES.values()) + 1e-9
@@ -239,6 +239,26 @@ def hq_score(missingness: Column, sampling: Column, distribution: Column, acc: C
     return F.round(0.30 * missingness + 0.20 * sampling + 0.20 * distribution + 0.20 * acc + 0.10 * gyro, 4)
 
 
+def observed(frame: DataFrame, keys: list[str], ts: str = "ts", distribution: float | Column = 1.0) -> DataFrame:
+    """keys and hq_score of each dataset by itself: completeness by role, regularity of its gaps, the given similarity of
+    its distributions (1 for its own), plausibility of acceleration and rotation; 1 for what it does not have."""
+    channels = [c for c in frame.columns if c in registry.CHANNELS]
+
+    def plausible(sensor: str) -> Column:
+        axes = SENSORS[sensor]
+        if not set(axes) <= set(channels):
+            return F.lit(1.0)
+        mean = F.avg(magnitude(*(F.col(a) for a in axes)))
+        return F.coalesce(F.when(mean.isNotNull(), physics(mean, sensor)), F.lit(0.3))
+
+    gaps = rates.with_gap(frame, keys, ts)
+    regular = F.when(F.count(ts) < 3, 1.0).otherwise(1 / (1 + F.var_pop("gap")))
+    similar = F.lit(distribution) if isinstance(distribution, float) else distribution
+    return gaps.groupBy(*keys).agg(role_missingness(channels).alias("_full"), regular.alias("_regular"), plausible("acc").alias("_acc"), plausible("gyro").alias("_gyro")).select(
+        *keys, hq_score(F.col("_full"), F.col("_regular"), similar, F.col("_acc"), F.col("_gyro")).alias("hq_score")
+    )
+
+
 def v3_score(columns: list[str]) -> Column:
     """An aggregate: completeness and mean sample variance of all columns, 0.6 to 0.4; 0 without rows."""
     full = reduce(add, [F.avg(F.col(c).isNotNull().cast("double")) for c in columns]) / len(columns)

@@ -12,7 +12,7 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from uuid import uuid4
 
@@ -43,6 +43,25 @@ class Slot:
     modalities: list[str]
     confidence: float
     warnings: list[str] = field(default_factory=list)
+    files: int = 0
+    ambiguous: bool = False
+    method: str = "rules"
+    reasons: list[str] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class Mapping:
+    """What a ``Mapper`` answers: columns to channels, how sure it is, and why."""
+
+    columns: dict[str, str]
+    confidence: float
+    reason: str = ""
+
+
+#: Asked about headers that the rules do not recognise well: (column names, profiles of the numeric ones, first rows).
+Mapper = Callable[[list[str], list[dict], list[dict]], Mapping]
+# Below this the rules ask, what an answer needs at least, and what is shown of a table.
+ASK_BELOW, LEAST_SURE, MOST_ASKED, PREVIEW = 0.85, 0.65, 40, 5
 
 
 def label(name: str) -> str:
@@ -74,6 +93,34 @@ def mapping(columns: list[str]) -> dict[str, str]:
     return out
 
 
+def profiles(df: DataFrame, names: list[str]) -> list[dict]:
+    """column_name, mean, std (of all), min and max of the columns that hold numbers, to six digits; one pass."""
+    numbers = {c: F.col(f"`{c}`").try_cast("double") for c in names}
+    kinds = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    row = df.agg(*(F.round(f(x), 6).alias(f"{k}{i}") for i, x in enumerate(numbers.values()) for k, f in kinds.items())).head()
+    return [{"column_name": c, **{k: row[f"{k}{i}"] for k in kinds}} for i, c in enumerate(numbers) if row[f"mean{i}"] is not None]
+
+
+def preview(df: DataFrame, names: list[str], rows: int = PREVIEW) -> list[dict]:
+    return [r.asDict() for r in df.select(*(F.col(f"`{c}`") for c in names)).limit(rows).collect()]
+
+
+def judged(answer: Mapping, names: list[str], by_rules: float) -> tuple[dict[str, str] | None, str]:
+    """The answer's mapping of known columns to known channels, or None; and why.
+
+    Refused: one channel twice, one of the two coordinates alone, an answer that is not sure enough or no surer than the rules.
+    """
+    found = {c: label(answer.columns[c]) for c in names if isinstance(answer.columns.get(c), str)}
+    found = {c: x for c, x in found.items() if x in CHANNELS}
+    if len(set(found.values())) < len(found):
+        return None, "mapping refused: a channel is named twice"
+    if len({"gps_lat", "gps_lon"} & set(found.values())) == 1:
+        return None, "mapping refused: latitude and longitude go together"
+    if not answer.confidence >= LEAST_SURE or answer.confidence <= by_rules:
+        return None, "mapping refused: not surer than the rules"
+    return found, answer.reason.strip() or "mapping by the given function"
+
+
 def parsed_time(c: Column) -> Column:
     """Text to a time: the known formats in order, whole numbers as nanoseconds since 1970; else null."""
     number = F.when(c.rlike(r"^\s*-?\d{9,19}\s*$"), F.timestamp_micros(F.try_divide(c.try_cast("long"), F.lit(1000)).cast("long")))
@@ -300,9 +347,9 @@ def thinned_to(df: DataFrame, steps: dict[str, int]) -> DataFrame:
     return placed.where((F.coalesce("_before", F.lit(0)) + F.col("_id") - F.coalesce("_first", F.col("_id"))) % step == 0).select(*df.columns)
 
 
-def canonical_frames(spark: SparkSession, files: list[File], names: list[str], opened: dict[File, int], max_rows: int | None = None, strict: bool = False) -> tuple[DataFrame, dict[File, tuple[float, list[str]]]]:
+def canonical_frames(spark: SparkSession, files: list[File], names: list[str], opened: dict[File, int], max_rows: int | None = None, strict: bool = False, to: dict[str, str] | None = None) -> tuple[DataFrame, dict[File, tuple[float, list[str], bool]]]:
     """_file, _block, _id, ts and channels of files with one header; and for each file the share of sensor-like columns
-    that were recognised, and warnings.
+    that were recognised, warnings, and whether another column could be the time. ``to``: columns to channels, else by rules.
 
     One pass counts for every file its rows, malformed rows, parsed times and numbers; the frame is a second one.
     Channels without any number in a file are null there; those without one in all files are left out.
@@ -311,7 +358,7 @@ def canonical_frames(spark: SparkSession, files: list[File], names: list[str], o
     hinted = [c for c in names if any(h in label(c) for h in TIME_HINTS)]
     if not hinted:
         raise HarmonizeError("missing_timestamp_column", f"none of {names} looks like a time")
-    to = mapping(names)
+    to = mapping(names) if to is None else to
     col = lambda c: F.col(f"`{c}`")
     # Counts over all columns: with only some of them the reader would not see malformed rows.
     found = df.withColumn("_all", F.struct(*map(col, names))).groupBy("_file").agg(
@@ -338,7 +385,7 @@ def canonical_frames(spark: SparkSession, files: list[File], names: list[str], o
             raise HarmonizeError("invalid_timestamp_format", f"no value of {hinted[best]} parses as a time")
         ts = hinted[best]
         chosen.setdefault(ts, []).append(f.key)
-        if any(shares[best] - x < 0.1 for i, x in enumerate(shares) if i != best):
+        if ambiguous := any(shares[best] - x < 0.1 for i, x in enumerate(shares) if i != best):
             warnings.append(f"{ts} taken as the time, another column parses as well")
         used = {c: x for c, x in to.items() if c != ts}
         like = [c for c in names if c != ts and any(x in label(c) for x in SENSOR_LIKE)]
@@ -347,7 +394,7 @@ def canonical_frames(spark: SparkSession, files: list[File], names: list[str], o
                 filled.add(c)
             elif c != ts:
                 warnings.append(f"{c} has no number and is left out")
-        told[f] = (round(min(1.0, len(used) / max(1, len(like))), 4), warnings)
+        told[f] = (round(min(1.0, len(used) / max(1, len(like))), 4), warnings, ambiguous)
     if steps:
         df = thinned_to(df, steps)
     time = F.coalesce(*(F.when(F.col("_file").isin(keys), parsed_time(col(c))) for c, keys in chosen.items()))
@@ -356,12 +403,13 @@ def canonical_frames(spark: SparkSession, files: list[File], names: list[str], o
     return out, told
 
 
-def read_slot(spark: SparkSession, root: str, dataset_id: str, most_files: int = 250, max_rows: int | None = None, strict: bool = False) -> Slot:
+def read_slot(spark: SparkSession, root: str, dataset_id: str, most_files: int = 250, max_rows: int | None = None, strict: bool = False, mapper: Mapper | None = None) -> Slot:
     """Every CSV below ``root`` as one frame; equal times of a participant become one row, earlier files first.
 
     ``source_file`` is the first file with a row at that time. Files with the same header are one scan. A header that
     cannot be used fails the slot with its error, if that is one of ``CRITICAL``; any other is skipped with a warning,
-    as long as one is left.
+    as long as one is left. ``mapper`` is asked about headers of which the rules recognise too little; its answer is
+    taken if it is sound.
     """
     files, warnings = find_files(root, most_files)
     owner, grouping = group_files(files)
@@ -370,10 +418,21 @@ def read_slot(spark: SparkSession, root: str, dataset_id: str, most_files: int =
     groups: dict[tuple, list[File]] = {}
     for f in files:
         groups.setdefault(tuple(read[f].names), []).append(f)
-    frames, told = [], {}
+    frames, told, reasons, method = [], {}, [], "rules"
     for names, members in groups.items():
         try:
-            frame, said = canonical_frames(spark, members, list(names), {f: read[f].open_quotes for f in members}, max_rows, strict)
+            opened = {f: read[f].open_quotes for f in members}
+            frame, said = canonical_frames(spark, members, list(names), opened, max_rows, strict)
+            by_rules = min(share for share, _, _ in said.values())
+            if mapper and by_rules < ASK_BELOW and len(names) <= MOST_ASKED:
+                df = scan(spark, members, list(names))
+                answer = mapper(list(names), profiles(df, list(names)), preview(df, list(names)))
+                taken, why = judged(answer, list(names), by_rules)
+                reasons.append(why)
+                if taken is not None:
+                    method = "mapper"
+                    frame, said = canonical_frames(spark, members, list(names), opened, max_rows, strict, taken)
+                    said = {f: (round(answer.confidence, 4), w, a) for f, (_, w, a) in said.items()}
         except HarmonizeError as e:
             if e.kind in CRITICAL:
                 raise
@@ -394,4 +453,7 @@ def read_slot(spark: SparkSession, root: str, dataset_id: str, most_files: int =
     merged = first_known(whole, ["participant_id", "ts"], [*channels, "source_file"], ["file_no", "_block", "_id"])
     participants = sorted({owner[f] for f in files})
     shares = [told[f][0] for f in files if f in told]
-    return Slot(merged.withColumn("dataset_id", F.lit(dataset_id)), participants, grouping, modalities_of(channels), round(sum(shares) / len(shares), 4), list(dict.fromkeys(warnings)))
+    return Slot(
+        merged.withColumn("dataset_id", F.lit(dataset_id)), participants, grouping, modalities_of(channels), round(sum(shares) / len(shares), 4), list(dict.fromkeys(warnings)),
+        len(files), any(a for _, _, a in told.values()), method, list(dict.fromkeys(reasons)),
+    )

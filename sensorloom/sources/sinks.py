@@ -59,3 +59,21 @@ def write_benchmark(rows: DataFrame, path: str) -> None:
     """Scenario scores as JSON lines and as CSV with a header, also when there are none."""
     rows.write.mode("overwrite").json(path + "/json")
     rows.write.mode("overwrite").option("header", True).csv(path + "/csv")
+
+
+def write_validation(report: DataFrame, fused: DataFrame, path: str) -> None:
+    """What a fusion came to, a JSON object and a Markdown text for each participant: score, rate, offsets, rows, columns."""
+    sizes = fused.groupBy("participant_id").agg(F.count(F.lit(1)).alias("num_rows"))
+    columns = F.array(*map(F.lit, fused.columns))
+    offsets = F.transform("datasets", lambda d: F.struct(d["dataset_id"].alias("dataset_id"), (d["offset_seconds"] * 1000).alias("offset_ms")))
+    rows = report.join(sizes, "participant_id").select(
+        "participant_id", F.current_timestamp().alias("generated_at"), F.col("hqscore").alias("final_hq_score"), F.col("master_rate_hz").alias("chosen_sampling_rate_hz"), offsets.alias("estimated_time_offsets_ms"),
+        "num_rows", F.size(columns).alias("num_columns"), columns.alias("columns"),
+    )
+    rows.select("participant_id", F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").partitionBy("participant_id").text(path + "/json")
+    moved = F.array_join(F.transform("estimated_time_offsets_ms", lambda o: F.format_string("%s: %.1f ms", o["dataset_id"], o["offset_ms"])), ", ")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("# Fusion of "), "participant_id"), F.lit(""), F.format_string("* Score: %.4f", "final_hq_score"), F.format_string("* Rate: %.4f Hz", "chosen_sampling_rate_hz"),
+        F.concat(F.lit("* Offsets: "), moved), F.format_string("* Rows: %d", "num_rows"), F.format_string("* Columns (%d): %s", "num_columns", F.array_join("columns", ", ")), F.format_string("* Generated: %s", "generated_at"),
+    )
+    rows.select("participant_id", text.alias("value")).write.mode("overwrite").partitionBy("participant_id").text(path + "/markdown")

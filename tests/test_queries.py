@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 import pytest
 from compare import differences, duck
-from sensorloom.plans import agent_queries, fusion_queries, learning_queries, score_queries  # noqa: F401
+from sensorloom.plans import agent_queries, fusion_queries, learning_queries, score_queries, stream_queries  # noqa: F401
 from sensorloom.plans import queries as plans
 
 SMALL = "/root/testdata/sf0.001"
