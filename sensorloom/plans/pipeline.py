@@ -225,16 +225,27 @@ def reported(rows, fused, has, streams, spans, trend, task: str | None) -> DataF
     )
 
 
+#: Warnings that a roll-up shows.
+SHOWN = 25
+
+
 def rolled_up(report: DataFrame) -> DataFrame:
-    """All participants as one row: mean scores and rates, the worst drift, whether any drifts, all warnings."""
+    """All participants as one row: mean scores and rates, the worst drift, whether any drifts, accepted corrections.
+
+    Warnings are told once each, in the order in which the participants first have them, ``SHOWN`` at most.
+    """
     worst = F.when(F.col("drift_type") == "significant", 2).when(F.col("drift_type") == "minor", 1).otherwise(0)
-    return report.agg(
+    accepted = F.col("corrections.iterations") if "corrections" in report.columns else F.lit(None).cast("long")
+    sums = report.agg(
         F.count(F.lit(1)).alias("participants"), F.round(F.avg("hqscore"), 4).alias("hqscore"), F.round(F.avg("master_rate_hz"), 4).alias("master_rate_hz"),
         *(F.round(F.avg(c), 4).alias(c) for c in ("distribution", "spectral", "temporal", "missingness", "coverage", "stability_factor")),
         *(F.round(F.avg(c), 6).alias(c) for c in ("kl", "wasserstein", "coherence", "frequency", "peak", "snr")),
-        F.max_by("drift_type", worst).alias("drift_type"), F.bool_or("drift_detected").alias("drift_detected"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings")))).alias("warnings"),
+        F.max_by("drift_type", worst).alias("drift_type"), F.bool_or("drift_detected").alias("drift_detected"), F.coalesce(F.sum(accepted), F.lit(0)).alias("iterations"),
     )
+    each = report.select(*KEY, F.posexplode("warnings").alias("_at", "warning")).groupBy("warning").agg(F.min(F.struct(*KEY, "_at")).alias("first"))  # a row a text
+    told = each.agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("first", "warning"))), lambda x: x["warning"]), 1, SHOWN).alias("warnings"))
+    one = F.lit(1).alias("_one")
+    return sums.select("*", one).join(told.select("*", one), "_one").drop("_one")  # a row each
 
 
 def hqscore(distribution: float, spectral: float, temporal: float, missingness: float, coverage: float, stability: float, profile: str = "default") -> float:

@@ -122,3 +122,27 @@ def test_ambiguous_times_and_empty_channels(spark, tmp_path):
     (tmp_path / "a.csv").write_text("timestamp,time,acc_x,acc_y\n" + "".join(f"2024-01-01T00:00:0{i},2024-01-01T00:00:0{i},{i},\n" for i in range(5)))
     slot = ingest.read_slot(spark, str(tmp_path), "d")
     assert len(slot.warnings) == 2 and "acc_y" not in slot.frame.columns and slot.frame.count() == 5
+
+
+def test_rolled_up_warnings_keep_their_order(spark):
+    """Once each, by the first participant that has them; accepted corrections are summed."""
+    one = fuse([spark.createDataFrame(rows("p", d, 60, 1.0), SCHEMA) for d in ("d1", "d2")]).report
+    many = spark.createDataFrame([("a", ["z", "b"]), ("b", ["b", "a"]), ("c", [])], "participant_id string, w array<string>")
+    report = one.drop("participant_id").join(F.broadcast(many)).withColumn("warnings", F.col("w")).withColumn("corrections", F.col("corrections").withField("iterations", F.lit(2)))
+    got = rolled_up(report).head()
+    assert (got.participants, got.warnings, got.iterations) == (3, ["z", "b", "a"], 6)
+
+
+def test_long_streams_are_filled_in_blocks(spark, monkeypatch):
+    """A grid of many blocks gives the same fusion as one block."""
+    from sensorloom.operators import resample
+
+    f = lambda i: (float(i % 11), 1.0, 9.8, 0.1, float(i % 5), 0.3)
+    slots = [spark.createDataFrame(rows("p", "d1", 400, 0.1, 0.0, f), SCHEMA), spark.createDataFrame(rows("p", "d2", 80, 0.5, 0.0, f), SCHEMA)]
+    whole = fuse(slots, target_rate=4.0)
+    made = resample.blocked_grid
+    monkeypatch.setattr(resample, "blocked_grid", lambda *a, **k: made(*a, **k, block=17))
+    cut_up = fuse(slots, target_rate=4.0)
+    same = lambda out: sorted(map(tuple, out.fused.collect()))
+    assert same(whole) == same(cut_up) and len(same(whole)) == 159
+    assert whole.first.hqscore == cut_up.first.hqscore
