@@ -97,7 +97,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word to hash, kept while it is small; a new word is computed once by ``make``."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, make):
         super().__init__()

@@ -43,9 +43,9 @@ WORDS = {
     },
 }
 #: Chunks and ids kept at most; beyond either, the store starts anew.
-KEPT_CHUNKS, KEPT_IDS = 600_000, 6_000_000
+KEPT_CHUNKS, KEPT_IDS = 300_000, 3_000_000
 #: Bytes of text that are handled at once.
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 4 << 20
 
 
 def character_classes() -> np.ndarray:
@@ -131,9 +131,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            settings = json.load(f)
-        cuts = {k: settings.get(k) for k in ("normalizer", "pre_tokenizer")}
+        # Of the two parts alone: the file's vocabulary as Python objects would stay in the worker's memory.
+        parts = {k: getattr(self.tokenizer, k) for k in ("normalizer", "pre_tokenizer")}
+        cuts = {k: None if x is None else json.loads(x.__getstate__()) for k, x in parts.items()}
         self.with_space = cuts == {"normalizer": None, "pre_tokenizer": BYTE_LEVEL}
         self.known = self.with_space or cuts == WORDS
         self.clear()
@@ -261,7 +261,11 @@ def checksums(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of the batches whose texts have some ``BYTES_AT_ONCE`` together, or one row."""
+    """Parts of the batches whose texts have some ``BYTES_AT_ONCE`` together, or one row.
+
+    What Arrow has kept from earlier tasks of the worker goes back to the system first.
+    """
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
         k = 0
