@@ -152,3 +152,11 @@ def test_tables_of_known_formats(spark, tmp_path):
     assert ingest.read_table(spark, str(tmp_path / "t.parquet")).count() == 3
     with pytest.raises(ValueError, match="no reader"):
         ingest.read_table(spark, "x.xlsx")
+
+
+def test_names_with_spaces_and_signs(spark, tmp_path):
+    """Names that look otherwise in an address than in a folder."""
+    for name in ("p1 left+right.csv", "p2 50%.csv", "p3 \u00e9.csv"):
+        write(tmp_path / "my data" / name, samples(5, 1))
+    slot = ingest.read_slot(spark, str(tmp_path / "my data"), "d")
+    assert slot.participants == ["p_1", "p_2", "p_3"] and slot.frame.count() == 15 and slot.frame.where("source_file is null").count() == 0
