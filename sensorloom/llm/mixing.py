@@ -147,7 +147,8 @@ class Mix:
     def joined(self) -> DataFrame:
         """Every piece once for each slot that holds it, with the words that the slot takes of it."""
         words = F.least(F.col("n"), F.col("words") - F.col("offset"))
-        return self.pieces.join(self.slots, ["source_no", "block"]).withColumn("take", words).where("take > 0")
+        # A sorted join whatever the files' sizes: pieces are many times what they are made from.
+        return self.pieces.hint("merge").join(self.slots.hint("merge"), ["source_no", "block"]).withColumn("take", words).where("take > 0")
 
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target, taken of each document."""
