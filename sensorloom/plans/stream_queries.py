@@ -30,8 +30,7 @@ def participant_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
  select participant_id, dataset_id, bool_and(abs(gap - m) < 0.2 * m) continuous, round(1 / (1 + var_pop(gap)), 6) sampling_consistency from h join m using (participant_id, dataset_id) group by all""")
 def stream_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regularity of each stream, with time in days."""
-    days = S.events(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) / DAY).cast("long")))
-    found = rates.continuity(days, STREAM)
+    found = rates.continuity(S.events(spark, sf_dir), STREAM, unit=DAY)
     return rounded(found.select(*STREAM, "continuous", "sampling_consistency"), 6, "sampling_consistency")
 
 
