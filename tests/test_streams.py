@@ -1,8 +1,10 @@
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from compare import differences, duck
 from sensorloom.plans import queries as plans
-from sensorloom.plans import stream_queries  # noqa: F401
+from sensorloom.plans import fusion_queries, stream_queries  # noqa: F401
 
 
 def test_continuity_takes_times_whole(spark, tmp_path):
@@ -14,3 +16,19 @@ def test_continuity_takes_times_whole(spark, tmp_path):
     query = plans.QUERIES["stream_continuity"](spark, str(tmp_path))
     assert differences(query, duck(str(tmp_path)), plans.ORACLES["stream_continuity"]) == ""
     assert [r.continuous for r in query.orderBy("participant_id").collect()] == [True, False]
+
+
+@pytest.fixture(scope="module")
+def embeddings(tmp_path_factory):
+    """One label longer than the drift's limit of points, one of a window's length, one of less, one without variance."""
+    sizes, rng = {0: 2600, 1: 20, 2: 13, 3: 11, 4: 45}, np.random.default_rng(3)
+    labels = np.repeat(list(sizes), list(sizes.values()))
+    values = np.where(labels[:, None] == 4, 1.0, rng.normal(size=(len(labels), 12))).astype(np.float32)
+    folder = tmp_path_factory.mktemp("embeddings")
+    pq.write_table(pa.table({"vec_id": np.arange(len(labels)), "label": labels.astype(np.int32), "embedding": pa.array(list(values), pa.list_(pa.float32()))}), folder / "embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["window_lags_by_label"])
+def test_windows_take_whole_signals(spark, embeddings, name):
+    assert differences(plans.QUERIES[name](spark, embeddings), duck(embeddings), plans.ORACLES[name]) == ""
