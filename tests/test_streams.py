@@ -29,6 +29,6 @@ def embeddings(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["window_lags_by_label"])
+@pytest.mark.parametrize("name", ["window_lags_by_label", "drift_slope_by_label"])
 def test_windows_take_whole_signals(spark, embeddings, name):
     assert differences(plans.QUERIES[name](spark, embeddings), duck(embeddings), plans.ORACLES[name]) == ""
