@@ -3,6 +3,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from compare import differences, duck
+from pyspark.sql import functions as F
+from sensorloom.operators import resample
 from sensorloom.plans import queries as plans
 from sensorloom.plans import fusion_queries, stream_queries  # noqa: F401
 
@@ -32,3 +34,16 @@ def embeddings(tmp_path_factory):
 @pytest.mark.parametrize("name", ["window_lags_by_label", "drift_slope_by_label"])
 def test_windows_take_whole_signals(spark, embeddings, name):
     assert differences(plans.QUERIES[name](spark, embeddings), duck(embeddings), plans.ORACLES[name]) == ""
+
+
+def test_no_window_is_summed_up_anew_for_every_row(spark):
+    rows = spark.range(40).select(F.lit("a").alias("k"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 7 == 3, F.col("id") * 2.0).alias("v"), F.floor(F.col("id") / 16).alias("_block"))
+    filled = resample.filled(rows, ["k"], {"v": "linear"})
+    line = rows.select("ts", resample.interpolated("v", ["k"]).alias("v"))
+    near = resample.asof_nearest(rows.select("k", "ts"), rows.where("v is not null").select("k", "ts", "v"), ["k"], "v", 3.0)
+    for frame in (filled, line, near):
+        assert "unboundedfollowing" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    want = [None if i < 3 else 2.0 * min(i, 38) for i in range(40)]  # nothing before the first
+    assert [r.v for r in filled.orderBy("ts").collect()] == pytest.approx(want) and [r.v for r in line.orderBy("ts").collect()] == pytest.approx(want)
+    known = range(3, 40, 7)
+    assert [r.v for r in near.orderBy("ts").collect()] == [2.0 * min(known, key=lambda t: (abs(t - i), t)) for i in range(40)]
