@@ -180,52 +180,58 @@ def _chances(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def deltas(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Of (centre, id, c): ``delta`` (shingles that only one of id and centre has), w, and ``least``.
+    """Of (centre, id, c): ``delta`` (shingles that only one of id and centre has), w, and ``cost``.
 
-    w > 0 if id is too far from the centre to be linked with it, by as much; ``least``: how many shingles of its
-    delta id shares at least with that of any such far one that it may be linked with.
+    w > 0 if id is too far from the centre to be linked with it, by as much; ``cost``: 100 for each shingle of the centre
+    that id lacks, ``percent`` for each other one of its delta.
     """
     left = known.select(F.col("id").alias("centre"), F.col("s").alias("sa"))
     right = known.select("id", F.col("s").alias("sb"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            delta, w, least = [], [], []
+            delta, w, cost = [], [], []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 u, v = unpacked(x), unpacked(y)
                 both = np.setxor1d(u, v, assume_unique=True)
                 extra = (len(both) + len(v) - len(u)) // 2
                 missing = len(both) - extra
                 delta.append(both.view(np.int64))
-                w.append(100 * missing + percent * extra - (100 - percent) * len(u))
-                least.append(-(-(1 + 100 * missing + percent * extra) // (100 + percent)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "id", "c")), pa.array(w, pa.int64()), pa.array(least, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], ["centre", "id", "c", "w", "least", "delta"])
+                cost.append(100 * missing + percent * extra)
+                w.append(cost[-1] - (100 - percent) * len(u))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "id", "c")), pa.array(w, pa.int64()), pa.array(cost, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], ["centre", "id", "c", "w", "cost", "delta"])
 
-    return pairs.join(left, "centre").join(right, "id").select("centre", "id", "c", "sa", "sb").mapInArrow(differ, "centre long, id long, c long, w long, least long, delta array<long>")
+    return pairs.join(left, "centre").join(right, "id").select("centre", "id", "c", "sa", "sb").mapInArrow(differ, "centre long, id long, c long, w long, cost long, delta array<long>")
 
 
 def across(buckets: DataFrame, groups: DataFrame, known: DataFrame, percent: int, tried: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components, not ``tried`` yet, that share a bucket and may still be similar; a table.
 
-    Both have been compared with their bucket's centre h, and at least one, c, is too far from it. Let b lack m
-    shingles of h and have x others. From the sizes of intersection and union, c and b are similar only if
-    (100 + percent) * s >= w(c) + 100 * m + percent * x, where s counts the shingles in both deltas. So of b's
-    delta of d shingles, any d - least + 1 hold one that c's delta has too: the rarest are looked up. Near
-    copies of one text differ from it in different places, so few pairs come of this; it loses none.
+    Both have been compared with their bucket's centre h, and at least one, c, is too far from it. From the sizes of
+    intersection and union, c and b are similar exactly if (100 + percent) * s >= w(c) + cost(b), where s counts the
+    shingles in both deltas; the right side is the same with c and b exchanged. Let a pair need s shingles, and each delta
+    be sorted with the rarest first. The first shingle that both have is followed by s - 1 others in both, so no more than
+    s - 1 places before an end: pairs are looked up by shingles at such places only. Near copies of one text differ from
+    it in different places and have to share most of their deltas to be similar, so few pairs come of this, however
+    many copies there are; it loses none.
     """
     labelled = shared.stored(buckets.select("key", "id", "centre").join(groups, "id", "left").select("key", "id", "centre", F.coalesce("component_id", "id").alias("c")), "labelled")
     mixed = shared.stored(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
     apart = labelled.where("id <> centre").join(mixed.hint("merge"), "key").select("centre", "id", "c").distinct()
     rows = shared.stored(deltas(apart, known, percent), "deltas")
     shared.discard(labelled, mixed)
-    shingles = rows.select("centre", "id", "c", "w", (F.size("delta") - F.col("least") + 1).alias("prefix"), F.explode("delta").alias("e"))
+    shingles = rows.select("centre", "id", "c", "w", "cost", F.size("delta").alias("d"), F.explode("delta").alias("e"))
     counts = shared.stored(shingles.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("n")), "delta-counts")
     # A window holds one delta: no more rows than two sets have shingles.
-    shingles = shared.stored(shingles.join(counts.hint("merge"), ["centre", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("centre", "id").orderBy("n", "e"))).where("n > 1"), "delta-shingles")
+    shingles = shingles.join(counts.hint("merge"), ["centre", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("centre", "id").orderBy("n", "e"))).where("n > 1")
+    shingles = shared.stored(shingles.withColumn("after", F.col("d") - F.col("rank")), "delta-shingles")
     shared.discard(rows, counts)
-    far = shingles.where("w > 0").select("centre", "e", F.col("id").alias("a"), F.col("c").alias("ca"))
-    near = shingles.where("rank <= prefix").select("centre", "e", F.col("id").alias("b"), F.col("c").alias("cb"))
-    both = far.join(near, ["centre", "e"]).where("ca <> cb")
+    need = lambda x: F.ceil(x / (100 + percent))
+    far = shingles.where((F.col("w") > 0) & (F.col("after") + 1 >= need(F.col("w") + 1))).select("centre", "e", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("w").alias("wa"), F.col("after").alias("pa"))
+    near = shingles.where(F.col("after") + 1 >= need(F.col("cost") + 1)).select("centre", "e", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("w").alias("wb"), F.col("cost").alias("kb"), F.col("after").alias("pb"))
+    # Of two far ones either may be b: one of the two rows is enough.
+    may = (F.col("ca") != F.col("cb")) & ((F.col("wb") <= 0) | (F.col("a") < F.col("b"))) & (F.least("pa", "pb") + 1 >= need(F.col("wa") + F.col("kb")))
+    both = far.join(near, ["centre", "e"]).where(may)
     both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = shared.stored(both.join(tried, ["a", "b"], "left_anti"), "pairs-across", free=True)
     shared.discard(shingles)
