@@ -1,12 +1,14 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from compare import differences, duck
 from pyspark.sql import functions as F
-from sensorloom.operators import resample
+from sensorloom.operators import agent, resample
 from sensorloom.plans import queries as plans
-from sensorloom.plans import fusion_queries, stream_queries  # noqa: F401
+from sensorloom.plans import fusion_queries, pipeline, stream_queries  # noqa: F401
 
 
 def test_continuity_takes_times_whole(spark, tmp_path):
@@ -47,3 +49,20 @@ def test_no_window_is_summed_up_anew_for_every_row(spark):
     assert [r.v for r in filled.orderBy("ts").collect()] == pytest.approx(want) and [r.v for r in line.orderBy("ts").collect()] == pytest.approx(want)
     known = range(3, 40, 7)
     assert [r.v for r in near.orderBy("ts").collect()] == [2.0 * min(known, key=lambda t: (abs(t - i), t)) for i in range(40)]
+
+
+@pytest.mark.parametrize("name", ["fusion_parts_by_label"])
+def test_fusion_has_no_frame_that_grows_towards_the_last_row(spark, monkeypatch, name):
+    """In none of the tables that the fusion stores, nor in its report; frames of whole groups are summed up once."""
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().lower()
+    seen = []
+    for module in (agent, pipeline):
+        monkeypatch.setattr(module, "cut", lambda df, *a, made=module.cut: (seen.append(plan(df)), made(df, *a))[1])
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        seen.append(plan(plans.QUERIES[name](spark, "/root/testdata/sf0.001")))
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    frames = [f for text in seen for f in re.findall(r"specifiedwindowframe\((\w+), ([^,]*), ([^,]*?\(\)|[^,)]*)\)", text)]
+    assert len(seen) > 6 and frames and not any("unboundedfollowing" in last and "unboundedpreceding" not in first for _, first, last in frames)
