@@ -51,7 +51,7 @@ def test_no_window_is_summed_up_anew_for_every_row(spark):
     assert [r.v for r in near.orderBy("ts").collect()] == [2.0 * min(known, key=lambda t: (abs(t - i), t)) for i in range(40)]
 
 
-@pytest.mark.parametrize("name", ["fusion_parts_by_label"])
+@pytest.mark.parametrize("name", ["fusion_parts_by_label", "fuse_by_label"])
 def test_fusion_has_no_frame_that_grows_towards_the_last_row(spark, monkeypatch, name):
     """In none of the tables that the fusion stores, nor in its report; frames of whole groups are summed up once."""
     plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().lower()
