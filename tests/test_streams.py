@@ -66,3 +66,14 @@ def test_fusion_has_no_frame_that_grows_towards_the_last_row(spark, monkeypatch,
         spark.conf.set("spark.sql.debug.maxToStringFields", kept)
     frames = [f for text in seen for f in re.findall(r"specifiedwindowframe\((\w+), ([^,]*), ([^,]*?\(\)|[^,)]*)\)", text)]
     assert len(seen) > 6 and frames and not any("unboundedfollowing" in last and "unboundedpreceding" not in first for _, first, last in frames)
+
+
+@pytest.mark.parametrize("name", ["fusion_parts_by_label", "fuse_by_label"])
+def test_fusion_stores_what_several_steps_read(spark, monkeypatch, name):
+    """What is left of a plan is planned anew after each of its stages, so that the driver's memory grows with the square of its size."""
+    sizes = []
+    size = lambda frame: len(re.findall(r"(?m)^[ :+-]*(Join|Aggregate|Window|Sort|Generate)\b", frame._jdf.queryExecution().optimizedPlan().toString()))
+    for module in (agent, pipeline):
+        monkeypatch.setattr(module, "cut", lambda df, *a, made=module.cut: (sizes.append(size(df)), made(df, *a))[1])
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 10
+    assert len(sizes) > 6 and 10 < max(sizes) <= 40, sizes
